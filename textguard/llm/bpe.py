@@ -32,16 +32,47 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in stay} | {b: chr(0x100 + k) for k, b in enumerate(moved)}
 
 
+#: What may follow a word without being part of it, and how long a tail may be to be looked up.
+_TAIL, _TAIL_CHARS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 4
+
+
+class _Tails(dict):
+    """Ids of the punctuation that follows a word."""
+
+    def __init__(self, ids):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, tail: str) -> bytes:
+        found = self[tail] = self.ids(tail)
+        return found
+
+
 class _Pieces(dict):
     """Ids of a piece together with the space before it, by the piece."""
 
     def __init__(self, model, full):
         super().__init__()
-        self.model, self.full, self.letters = model, full, _byte_letters()
+        self.tokenize, self.full, self.letters = model.tokenize, full, _byte_letters()
+        self.space, self.tails = self.letters[0x20], _Tails(self.ids)
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.ids(f" {piece}")
-        if len(piece) <= CACHE_CHARS and len(self) < CACHE_PIECES:
+        word = piece.rstrip(_TAIL)
+        if len(word) < len(piece):
+            # a word and its tail are tokenized apart, so the word's ids serve all its tails
+            if word.isalpha() and len(piece) - len(word) <= _TAIL_CHARS and (word.isascii() or _PLAIN(word)):
+                known = self.get(word)
+                found = (self[word] if known is None else known) + self.tails[piece[len(word) :]]
+                if known is None:  # perhaps never met again
+                    return found
+            else:
+                found = self.ids(f" {piece}")
+        elif piece.isalpha() and (piece.isascii() or _PLAIN(piece)):
+            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.tokenize(self.space + mapped)]).tobytes()
+        else:
+            found = self.ids(f" {piece}")
+        if len(self) < CACHE_PIECES and len(piece) <= CACHE_CHARS:
             self[piece] = found
         return found
 
@@ -51,7 +82,7 @@ class _Pieces(dict):
         out = array("I")
         for word in _WORDS(text):
             mapped = word.encode().decode("latin-1").translate(self.letters)
-            out.extend([t.id for t in self.model.tokenize(mapped)])
+            out.extend([t.id for t in self.tokenize(mapped)])
         return out.tobytes()
 
 
