@@ -15,7 +15,7 @@ import re
 from array import array
 
 #: Pieces kept by one worker, and the longest piece kept; together they bound its memory.
-CACHE_PIECES, CACHE_CHARS = 500_000, 32
+CACHE_PIECES, CACHE_CHARS = 690_000, 32
 #: A space inside or at the end of a run of white space: piece borders are not token borders there.
 _ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: Pieces for which Python's and the library's character classes surely agree.

@@ -52,7 +52,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
     dealt = docs.select("doc_id", "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     encoded = dealt.mapInArrow(_encode(tokenizer or bpe.default_path(), end_id), ORC_SCHEMA)
     (
-        encoded.write.option("compression", "zstd")
+        encoded.write.option("compression", "lz4")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", str(BLOOM_FPP))
         .option("orc.row.index.stride", str(INDEX_STRIDE))
