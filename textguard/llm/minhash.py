@@ -11,9 +11,10 @@ Links are found without meeting all pairs of a group:
 3. a shingle that no other candidate has can be in no intersection, so the number of
    shared shingles bounds every likeness of a class, and most false candidates go here;
 4. in each table the member with the greatest shared part is the hub; each class is
-   verified against one hub, and components are formed;
-5. where a table still holds several components, pairs across them that the bound of 3
-   allows are verified too, and the components are formed anew.
+   compared with one hub, and components are formed;
+5. where a table still holds several components, pairs across them are verified too, and
+   the components are formed anew. Two classes of one hub meet only if they share a
+   shingle outside the hub's set, or if their parts inside and outside of it allow a link.
 
 Defined results: texts without words (null, empty) have an empty set and no link; a
 short text is one shingle; rows with one doc_id and one set get the same result each;
@@ -160,20 +161,49 @@ def connected(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold."""
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes of their full sets and of what these have in common."""
     a = sets.select(F.col("id").alias("a"), F.col("sh").alias("sh_a"))
     b = sets.select(F.col("id").alias("b"), F.col("sh").alias("sh_b"))
     met = pairs.join(a, "a").join(b, "b")
-    both = F.size(F.array_intersect("sh_a", "sh_b"))
-    alike = F.lit(100) * both >= F.lit(percent) * (F.size("sh_a") + F.size("sh_b") - both)
-    return met.where(alike).select("a", "b")
+    return met.select("a", "b", F.size("sh_a").alias("n_a"), F.size("sh_b").alias("n_b"), F.size(F.array_intersect("sh_a", "sh_b")).alias("c"))
 
 
-def _may_link(percent: int, one: str, two: str):
-    """Upper bound from sizes n and shared parts u: the union holds all shingles, the intersection shared ones only."""
-    both = F.least(F.col(f"u_{one}"), F.col(f"u_{two}"))
-    return F.lit(100) * both >= F.lit(percent) * (F.col(f"n_{one}") + F.col(f"n_{two}") - both)
+def _linked(percent: int):
+    return F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("c"))
+
+
+def _may_link(percent: int):
+    """Bound from sizes n and shared parts u: the union holds all shingles, the intersection shared ones only."""
+    both = F.least("u_a", "u_b")
+    return F.lit(100) * both >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - both)
+
+
+def _may_link_apart(percent: int):
+    """Bound for two classes of one hub that share nothing outside the hub's set.
+
+    With c in common with the hub and the rest e outside of it, they have at most the smaller c
+    in common, and their union holds the larger c and both rests.
+    """
+    rests = F.col("n_a") - F.col("c_a") + F.col("n_b") - F.col("c_b")
+    return F.lit(100) * F.least("c_a", "c_b") >= F.lit(percent) * (F.greatest("c_a", "c_b") + rests)
+
+
+def _pairs(rows: DataFrame, on: list[str], bound) -> DataFrame:
+    """Distinct pairs (a, b) of different components that meet on ``on`` and that the bound allows."""
+    side = lambda x: rows.select(*on, *[F.col(c).alias(f"{name}_{x}") for c, name in (("id", "id"), ("n", "n"), ("u", "u"), ("root", "root"), ("c", "c"))], F.col("hub").alias(f"hub_{x}"))
+    met = side("a").join(side("b"), on).where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & bound)
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def _apart(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """A row for every shingle of a member outside its hub's set that others of the hub have too."""
+    own = sets.select("id", F.col("sh").alias("sh_own"))
+    hub = sets.select(F.col("id").alias("hub"), F.col("sh").alias("sh_hub"))
+    each = members.join(own, "id").join(hub, "hub").withColumn("s", F.explode(F.array_except("sh_own", "sh_hub"))).drop("sh_own", "sh_hub")
+    each = materialize(each, "apart")
+    shared = each.groupBy("hub", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select("hub", "s")
+    return each.join(shared, ["hub", "s"], "left_semi")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -191,26 +221,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     candidates = tables.select("id").distinct()
     # ids of candidates only; their texts are read again rather than keeping all sets
     texts = docs.select("doc_id", "text").join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    firsts = classes.select(F.col("id").alias("doc_id"), "set")
     sets = materialize(texts.mapInArrow(_full(width), "id long, n long, sh array<long>"), "sets")
     lone = sets.select("id", F.explode("sh").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where(F.col("c") == 1).groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
     bound = sets.select("id", "n").join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("u"))
     bound = materialize(bound.where(F.lit(100) * F.col("u") >= F.lit(percent) * F.col("n")).dropDuplicates(["id"]), "bound")
     sets = sets.join(bound.select("id"), "id", "left_semi").dropDuplicates(["id"])
     live = materialize(tables.join(bound, "id"), "live")
+    # 4. hubs: the member of a table with the greatest shared part; a class keeps its best one
     ratio = F.struct((F.col("u") / F.col("n")).alias("r"), (-F.col("id")).alias("i"))
-    hubs = live.groupBy("key").agg(F.max(ratio).alias("hub"), F.max_by(F.struct("id", "n", "u"), ratio).alias("h"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    stars = live.join(hubs, "key").select("id", F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("h.id").alias("b"), F.col("h.n").alias("n_b"), F.col("h.u").alias("u_b"), "hub")
-    stars = stars.where((F.col("id") != F.col("b")) & _may_link(percent, "a", "b")).groupBy("id").agg(F.max_by("b", "hub").alias("b"))
-    links = materialize(_verified(stars.select(F.col("id").alias("a"), "b"), sets, percent), "links")
+    hubs = live.groupBy("key").agg(F.max(ratio).alias("best"), F.max_by("id", ratio).alias("hub"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    stars = live.join(hubs, "key").groupBy("id").agg(F.max_by("hub", "best").alias("hub"))
+    stars = materialize(_common(stars.select(F.col("id").alias("a"), F.col("hub").alias("b")), sets), "stars")
+    links = stars.where(F.col("a") != F.col("b")).where(_linked(percent)).select("a", "b")
     roots = connected(links)
-    placed = live.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # 5. tables that still hold several components
+    known = bound.join(stars.select(F.col("a").alias("id"), F.col("b").alias("hub"), "c"), "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = tables.join(known, "id")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
     open_ = materialize(placed.join(mixed, "key", "left_semi"), "open")
-    left = open_.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("root").alias("r_a"))
-    right = open_.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("root").alias("r_b"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & _may_link(percent, "a", "b")).select("a", "b").distinct()
-    late = _verified(across, sets, percent)
+    across = _pairs(open_, ["key"], _may_link(percent) & ((F.col("hub_a") != F.col("hub_b")) | _may_link_apart(percent)))
+    apart = _apart(open_.select("id", "n", "u", "root", "hub", "c").distinct(), sets)
+    akin = _pairs(apart, ["hub", "s"], _may_link(percent))
+    late = _common(across.union(akin).distinct(), sets).where(_linked(percent)).select("a", "b")
     roots = connected(materialize(links.union(late), "links"))
     whole = classes.join(roots, "id", "left").select("set", F.coalesce("root", "id").alias("root"))
     found = signed.select("doc_id", "n", "set").join(whole, "set", "left")
