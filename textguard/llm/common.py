@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textguard.sources import workers
+
 #: Rows in one Arrow batch: bounds the memory of a Python worker when texts are long.
 ARROW_ROWS = 1000
 
@@ -46,14 +47,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small, as texts may be very long, and let workers find this package.
-
-    On a cluster the package is shipped with ``--py-files``; elsewhere workers look where the driver found it.
-    """
-    root = str(Path(__file__).resolve().parents[2])
-    environment = spark.sparkContext.environment
-    if root not in environment.get("PYTHONPATH", "").split(":"):
-        environment["PYTHONPATH"] = ":".join(x for x in (environment.get("PYTHONPATH", ""), root) if x)
+    """Keep Arrow batches small, as texts may be very long, and let workers find this package."""
+    workers.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
