@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textguard.llm.common import materialize
+
 #: Region -> rack -> {shard: weight}.
 Tree = dict[str, dict[str, dict[int, float]]]
 TREE_8: Tree = {
@@ -74,6 +76,7 @@ def shard_documents(docs: DataFrame, tree: Tree | None = None, grown: Tree | Non
     same = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
     drawn = same.withColumn("place", F.conv(F.substring(F.md5(F.concat(key, F.lit("/slot"))), 1, _DIGITS), 16, 10).cast("long"))
     drawn = drawn.withColumns({"shard": shard_of(key, tree), "grown_shard": shard_of(key, grown), "bucket": F.expr(f"int(place div {16**_DIGITS // SLOT_BUCKETS})")})
+    drawn = materialize(drawn, "drawn")  # a few numbers a row; the texts are read once
     by_bucket = Window.partitionBy("shard", "bucket").orderBy("place", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     numbered = drawn.withColumn("inside", F.coalesce(F.sum("copies").over(by_bucket), F.lit(0)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
