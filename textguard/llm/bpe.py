@@ -14,8 +14,8 @@ import os
 import re
 from array import array
 
-#: Pieces kept by one worker, and the longest piece kept; together they bound its memory.
-CACHE_PIECES, CACHE_CHARS = 690_000, 32
+#: Pieces and bare words kept by one worker, and the longest piece kept; together they bound its memory.
+CACHE_PIECES, CACHE_WORDS, CACHE_CHARS = 600_000, 50_000, 32
 #: A space inside or at the end of a run of white space: piece borders are not token borders there.
 _ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: Pieces for which Python's and the library's character classes surely agree.
@@ -36,15 +36,17 @@ def _byte_letters() -> dict[int, str]:
 _TAIL, _TAIL_CHARS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 4
 
 
-class _Tails(dict):
-    """Ids of the punctuation that follows a word."""
+class _Words(dict):
+    """Ids of a word as the pre-tokenizer cuts it, with or without a space before it."""
 
-    def __init__(self, ids):
+    def __init__(self, tokenize):
         super().__init__()
-        self.ids = ids
+        self.tokenize, self.letters = tokenize, _byte_letters()
 
-    def __missing__(self, tail: str) -> bytes:
-        found = self[tail] = self.ids(tail)
+    def __missing__(self, word: str) -> bytes:
+        found = array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(self) < CACHE_WORDS:
+            self[word] = found
         return found
 
 
@@ -54,7 +56,7 @@ class _Pieces(dict):
     def __init__(self, model, full):
         super().__init__()
         self.tokenize, self.full, self.letters = model.tokenize, full, _byte_letters()
-        self.space, self.tails = self.letters[0x20], _Tails(self.ids)
+        self.space, self.words = self.letters[0x20], _Words(model.tokenize)
 
     def __missing__(self, piece: str) -> bytes:
         word = piece.rstrip(_TAIL)
@@ -62,7 +64,7 @@ class _Pieces(dict):
             # a word and its tail are tokenized apart, so the word's ids serve all its tails
             if word.isalpha() and len(piece) - len(word) <= _TAIL_CHARS and (word.isascii() or _PLAIN(word)):
                 known = self.get(word)
-                found = (self[word] if known is None else known) + self.tails[piece[len(word) :]]
+                found = (self[word] if known is None else known) + self.words[piece[len(word) :]]
                 if known is None:  # perhaps never met again
                     return found
             else:
@@ -79,11 +81,7 @@ class _Pieces(dict):
     def ids(self, text: str) -> bytes:
         if len(text) > CACHE_CHARS or not _PLAIN(text):
             return self.full(text)
-        out = array("I")
-        for word in _WORDS(text):
-            mapped = word.encode().decode("latin-1").translate(self.letters)
-            out.extend([t.id for t in self.tokenize(mapped)])
-        return out.tobytes()
+        return b"".join([self[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in _WORDS(text)])
 
 
 class Encoder:
@@ -122,6 +120,17 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Give the worker's encoders and what they keep back to the system."""
+    import contextlib
+    import ctypes
+
+    if _ENCODERS:
+        _ENCODERS.clear()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -16,6 +16,8 @@ from textguard.sources import workers
 
 #: Rows in one Arrow batch: bounds the memory of a Python worker when texts are long.
 ARROW_ROWS = 1000
+#: Bytes of a row group of a scratch table: what a writing task buffers.
+SCRATCH_BLOCK = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to shared scratch and read it back: cuts lineage, survives executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", SCRATCH_BLOCK).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

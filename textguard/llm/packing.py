@@ -23,6 +23,8 @@ from textguard.llm.common import materialize, partitions, small_batches
 
 #: Ids in a full sequence; hashed features, projected dimensions, bits a dimension of the curve.
 MAX_TOKENS, FEATURES, DIMENSIONS, BITS = 2048, 256, 4, 12
+#: Ids whose features are summed up at a time.
+BLOCK_IDS = 500_000
 #: Spread of the projected means; brings them over the whole range of the curve.
 SPREAD = 8.0
 _TOKENS = "doc_id long, curve long, tie long, n_tokens long, ids binary"
@@ -85,15 +87,29 @@ def _tokens(path: str, end_id: int):
 
         enc, end, plane = bpe.encoder(path), end_id.to_bytes(4, "little"), projection()
         squeeze = zstandard.ZstdCompressor(level=1).compress
+        def features(raws, n, ids, means):
+            """Sums of projected features and stored ids of some documents, all at once."""
+            flat = np.frombuffer(b"".join(raws), "<u4")
+            starts = np.concatenate([[0], np.cumsum(n)])
+            means.append(np.add.reduceat(plane[flat & 0xFFFF], starts[:-1], axis=0) / np.array(n, np.float32)[:, None])
+            narrow = int(flat.max()) < 65_536
+            stored = flat.astype("<u2") if narrow else flat
+            for a, b in zip(starts, starts[1:], strict=False):
+                ids.append(squeeze(stored[a:b] if narrow else b"\0" + stored[a:b].tobytes()))
+
         for batch in batches:
             doc_ids, n, ids, means = batch.column(0).to_pylist(), [], [], []
+            raws, held = [], 0
             for text in batch.column(1).to_pylist():
-                raw = enc.encode(text) + end
-                whole = np.frombuffer(raw, "<u4")
-                n.append(len(whole))
-                means.append(plane[whole & 0xFFFF].mean(axis=0))
-                ids.append(squeeze(whole.astype("<u2").tobytes() if int(whole.max()) < 65_536 else b"\0" + raw))
-            means = np.array(means, np.float32).reshape(-1, DIMENSIONS)
+                raws.append(enc.encode(text) + end)
+                n.append(len(raws[-1]) // 4)
+                held += n[-1]
+                if held >= BLOCK_IDS:
+                    features(raws, n[-len(raws) :], ids, means)
+                    raws, held = [], 0
+            if raws:
+                features(raws, n[-len(raws) :], ids, means)
+            means = np.concatenate([*means, np.zeros((0, DIMENSIONS), np.float32)])
             cells = np.clip(((0.5 + np.arctan(SPREAD * means) / np.pi) * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
             ties = [xxhash.xxh64_intdigest(str(d)) >> 1 for d in doc_ids]
             columns = [batch.column(0), pa.array(hilbert_key(cells), pa.int64()), pa.array(ties, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())]
@@ -121,6 +137,7 @@ def _pack(limit: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
+        bpe.forget()  # the worker may have encoded before; packing needs no vocabulary
         base, full, held = TaskContext.get().partitionId() << 40, 0, []
         # held: pieces [doc_id, start, ids, doc_tokens, offset] of the sequence that is not yet full
         at, names = 0, [c.split()[0] for c in PIECES.split(", ")]
