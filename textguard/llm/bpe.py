@@ -14,6 +14,8 @@ import os
 import re
 from array import array
 
+from textguard.llm import memory
+
 #: Pieces and bare words kept by one worker, and the longest piece kept; together they bound its memory.
 CACHE_PIECES, CACHE_WORDS, CACHE_CHARS = 600_000, 50_000, 32
 #: A space inside or at the end of a run of white space: piece borders are not token borders there.
@@ -110,7 +112,7 @@ class Encoder:
         return (self.pieces.ids(head) if head else b"") + b"".join(map(self.pieces.__getitem__, tail))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = memory.keep("bpe", {})
 
 
 def encoder(path: str) -> Encoder:
@@ -120,17 +122,6 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def forget() -> None:
-    """Give the worker's encoders and what they keep back to the system."""
-    import contextlib
-    import ctypes
-
-    if _ENCODERS:
-        _ENCODERS.clear()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
-
-
 def default_path() -> str:
     import public_tokenizers
 

@@ -18,6 +18,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textguard.llm import memory
 from textguard.llm.common import materialize, small_batches
 
 #: Words in a window.
@@ -93,6 +94,7 @@ def _rarity(shipped):
     def run(batches):
         import pyarrow as pa
 
+        memory.claim("decontaminate")
         vocabulary, counts = shipped.value, defaultdict(int)
         for batch in batches:
             for raw in _raw(batch):
@@ -125,12 +127,13 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
     yield block
 
 
-def _scan(shipped):
-    """Adds to the columns so far the ranges and items of one block."""
+def _scan(shipped, drop: tuple[str, ...] | None):
+    """Adds to the columns so far the ranges and items of one block; the last block also sums them up."""
 
     def run(batches):
         import pyarrow as pa
 
+        memory.claim("decontaminate")
         index = shipped.value
         for batch in batches:
             ranges, items = batch.column("__ranges").to_pylist(), batch.column("__items").to_pylist()
@@ -145,22 +148,15 @@ def _scan(shipped):
                         items[k] = sorted({*(items[k] or []), *found})
             names = batch.schema.names
             new = {"__words": pa.array(counts, pa.int64()), "__ranges": pa.array(ranges, pa.list_(pa.int32())), "__items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(k)) for k, n in enumerate(names)], names=names)
-
-    return run
-
-
-def _finish(drop: tuple[str, ...]):
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = [n for n in batch.schema.names if n not in drop]
-            hit = [covered(list(zip(r[::2], r[1::2], strict=True))) if r else 0 for r in batch.column("__ranges").to_pylist()]
-            items = [x or [] for x in batch.column("__items").to_pylist()]
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            new = [batch.column("__words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *new], names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            if drop is not None:
+                names = [n for n in names if n not in drop]
+                hit = [covered(list(zip(r[::2], r[1::2], strict=True))) if r else 0 for r in ranges]
+                digest = [hashlib.sha256(",".join(x or []).encode()).hexdigest() for x in items]
+                n_items = [len(x or []) for x in items]
+                new = {"n_words": new["__words"], "n_hit": pa.array(hit, pa.int64()), "n_items": pa.array(n_items, pa.int64()), "items_sha256": pa.array(digest, pa.string()), "contaminated": pa.array([h > 0 for h in hit], pa.bool_())}
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new.values()], names=[*names, *new])
+            else:
+                yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
 
     return run
 
@@ -177,15 +173,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     clash = [c for c in docs.columns if c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "__words", "__ranges", "__items")]
     plain = docs.drop(*clash)
     rows = plain.withColumns({"__words": F.lit(0).cast("long"), "__ranges": F.lit(None).cast("array<int>"), "__items": F.lit(None).cast("array<string>")})
-    for number, block in enumerate(item_blocks(benchmark, block_words)):
-        if number:
-            rows = materialize(rows, "decontaminate")
-        rarity = corpus_rarity(plain, frozenset(w for _, raw in block for w in words_of(raw)))
-        shipped = spark.sparkContext.broadcast(Index(block, rarity, size))
-        rows = rows.mapInArrow(_scan(shipped), rows.schema)
     drop = ("__words", "__ranges", "__items") + (() if with_text else ("text",))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name not in drop)
-    return rows.mapInArrow(_finish(drop), f"{kept}, {_HITS}")
+    blocks = item_blocks(benchmark, block_words)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        rarity = corpus_rarity(plain, frozenset(w for _, raw in block for w in words_of(raw)))
+        shipped = spark.sparkContext.broadcast(Index(block, rarity, size))
+        if following is None:
+            return rows.mapInArrow(_scan(shipped, drop), f"{kept}, {_HITS}")
+        rows = materialize(rows.mapInArrow(_scan(shipped, None), rows.schema), "decontaminate")
+        block = following
 
 
 def report_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textguard.llm import memory
 from textguard.llm.common import doc_crc, small_batches
 
 #: Bounds of the training sample and of the model: documents and words a language, languages.
@@ -128,7 +129,7 @@ class _Rows(dict):
         return [self[w] for w in words]
 
 
-_SCORERS: dict[str, _Rows] = {}
+_SCORERS: dict[str, _Rows] = memory.keep("langid", {})
 
 
 def _scorer(model: Model, token: str) -> _Rows:
@@ -165,6 +166,7 @@ def _apply(shipped, token: str):
     def run(batches):
         import pyarrow as pa
 
+        memory.claim("langid")
         model = shipped.value
         for batch in batches:
             langs, scores = classify(batch.column("text").to_pylist(), model, token)

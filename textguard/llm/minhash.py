@@ -28,6 +28,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textguard.llm import memory
 from textguard.llm.common import materialize, small_batches
 
 #: Minhashes in a sub-key; share of pairs at the very threshold that no table may meet.
@@ -53,7 +54,7 @@ class _Hashes(dict):
         return found
 
 
-_HASHES = _Hashes()
+_HASHES = memory.keep("minhash", _Hashes())
 
 
 def shingles(raw: bytes | None, width: int):
@@ -111,6 +112,7 @@ def _sign(width: int, side: int):
 
         import pyarrow as pa
 
+        memory.claim("minhash")
         family = _family(2 * side * ROWS)
         for batch in batches:
             n, digest, one, two = [], [], [], []
@@ -131,6 +133,7 @@ def _full(width: int):
     def run(batches):
         import pyarrow as pa
 
+        memory.claim("minhash")
         for batch in batches:
             found = [shingles(raw, width).view("int64") for raw in _raw(batch.column(1))]
             columns = [batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))]

@@ -16,7 +16,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textguard.llm import bpe
+from textguard.llm import bpe, memory
 from textguard.llm.common import partitions, scratch_path, small_batches
 
 #: Rows between entries of the row index, bytes of a stripe, share of false Bloom hits.
@@ -30,6 +30,7 @@ def _encode(path: str, end_id: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
+        memory.claim("bpe")
         enc, part, row, end = bpe.encoder(path), TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -71,6 +72,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
 def _digest(batches):
     import pyarrow as pa
 
+    memory.claim("orc")
     for batch in batches:
         ids = batch.column(3)
         raw, ends = memoryview(ids.values.cast(pa.int32()).buffers()[1]).cast("B"), ids.offsets.to_pylist()

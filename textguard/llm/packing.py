@@ -18,7 +18,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm import bpe
+from textguard.llm import bpe, memory
 from textguard.llm.common import materialize, partitions, small_batches
 
 #: Ids in a full sequence; hashed features, projected dimensions, bits a dimension of the curve.
@@ -85,6 +85,7 @@ def _tokens(path: str, end_id: int):
         import xxhash
         import zstandard
 
+        memory.claim("bpe")
         enc, end, plane = bpe.encoder(path), end_id.to_bytes(4, "little"), projection()
         squeeze = zstandard.ZstdCompressor(level=1).compress
         def features(raws, n, ids, means):
@@ -137,7 +138,7 @@ def _pack(limit: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        bpe.forget()  # the worker may have encoded before; packing needs no vocabulary
+        memory.claim("packing")  # the worker may have encoded before; packing needs no vocabulary
         base, full, held = TaskContext.get().partitionId() << 40, 0, []
         # held: pieces [doc_id, start, ids, doc_tokens, offset] of the sequence that is not yet full
         at, names = 0, [c.split()[0] for c in PIECES.split(", ")]

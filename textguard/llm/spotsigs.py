@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textguard.llm import memory
 from textguard.llm.common import materialize, partitions, small_batches
 from textguard.llm.lexicon import ANCHORS, LETTERS
 
@@ -40,7 +41,7 @@ class _Hashes(dict):
         return found
 
 
-_HASHES = _Hashes()
+_HASHES = memory.keep("spotsigs", _Hashes())
 
 
 def signatures(text: str | None):
@@ -117,6 +118,7 @@ def _range(bounds: list[int]):
 def _compare(batches):
     import pyarrow as pa
 
+    memory.claim("spotsigs")
     names, held, done, at = [c.split()[0] for c in _OUT.split(", ")], None, [], None
 
     def result(row, following):
@@ -175,6 +177,7 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
 def _sets(batches):
     import pyarrow as pa
 
+    memory.claim("spotsigs")
     for batch in batches:
         found = [signatures(t) for t in batch.column(1).to_pylist()]
         columns = [batch.column(0), pa.array([hashlib.sha256(x.tobytes()).hexdigest() if len(x) else None for x in found], pa.string()), pa.array([x.astype("int64") for x in found], pa.list_(pa.int64()))]

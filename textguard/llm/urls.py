@@ -15,6 +15,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textguard.llm import memory
 from textguard.llm.common import small_batches
 
 # The rules (host, path, verdict).
@@ -86,6 +87,7 @@ def _judge(weights: dict[int, float], bias: float, rules, threshold: float):
     def run(batches):
         import pyarrow as pa
 
+        memory.claim("urls")
         for batch in batches:
             split = [split_url(u) for u in batch.column(1).to_pylist()]
             ruled = [rule_of(h, p, rules) for h, p in split]
