@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,6 @@ def unregister(name: str) -> None:
 
 def python_detector(find: Callable[[str], list[tuple[int, int, str]]], detector: str, confidence: float) -> Detector:
     """A detector from a Python function text -> [(start, end, category)], in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf(f"array<{SPAN}>")
     def spans(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [] if t is None else [(s, e, t[s:e], c, detector, confidence) for s, e, c in find(t)])

@@ -52,7 +52,8 @@ class Settings:
         """The same policy for those of ``categories`` that exist."""
         from dataclasses import replace
 
-        return replace(self, categories=tuple(c for c in CATEGORIES if c in set(categories)))
+        wanted = set(categories)
+        return replace(self, categories=tuple(c for c in CATEGORIES if c in wanted))
 
 
 def load_settings(path: str | None = None) -> Settings:
