@@ -398,3 +398,13 @@ def test_pipeline_stages_on_their_own_input(spark, data, tmp_path):
     whole, left = kept["secrets"]
     assert set(whole) == set(left) and all(left[i] == t for i, t in whole.items() if not base_spans(t)) and not any(base_spans(t) for t in left.values())
     assert set(kept["packing"][1]) == set(kept["packing"][0])
+
+
+@pytest.mark.parametrize("name", ["op4_hash_tree", "op10_minhash"])
+def test_query_equals_sql(spark, data, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    assert sorted(map(tuple, queries.QUERIES[name](spark, data).select(*want.columns).collect())) == sorted(want.fetchall())

@@ -96,13 +96,19 @@ def _sql_choose(node: dict, path: str) -> str:
     return "CASE " + " ".join(f"WHEN {d} = least({', '.join(draws)}) THEN {b}" for d, b in zip(draws, below, strict=True)) + " END"
 
 
+# crc32 byte by byte, with the table of the reflected polynomial built on the spot.
 ORACLE = f"""
-WITH d AS (
-  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 1 AS size, coalesce(text, '') AS t,
+WITH crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+same AS MATERIALIZED (
+  SELECT text, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS text_crc32
+  FROM (SELECT DISTINCT text FROM documents), crc),
+d AS (
+  SELECT doc_id, coalesce(strlen(documents.text), 0)::BIGINT + 1 AS size, text_crc32,
          ('0x' || substr(md5(doc_id::VARCHAR || '/slot'), 1, {_DIGITS}))::BIGINT AS place,
          ({_sql_choose(TREE_8, "")})::INTEGER AS shard, ({_sql_choose(TREE_9, "")})::INTEGER AS grown_shard
-  FROM documents)
-SELECT doc_id, size, shard, grown_shard, 'key' AS law,
-       row_number() OVER (PARTITION BY shard ORDER BY place, doc_id) - 1 AS slot
+  FROM documents JOIN same ON documents.text IS NOT DISTINCT FROM same.text)
+SELECT doc_id, size, text_crc32, shard, grown_shard, 'key' AS law,
+       row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, size, text_crc32) - 1 AS slot
 FROM d
 """
