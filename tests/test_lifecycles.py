@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textguard import service
 from textguard.operators import evaluate, gold
 from textguard.plans import queries as core
+from textguard.plans.redact import line_units
 from textguard.schema import Settings, load_settings
 from textguard.sources import docx, docx_writer
 from textguard.sources import gold as gold_io
@@ -56,6 +57,8 @@ def test_gold_build_and_files(spark, tmp_path):
     path = tmp_path / "gold.jsonl"
     path.write_text('# head\n\n{"unit_id": "u", "start": 0, "end": 2, "category": "NAME"}\n')
     assert [(r["unit_id"], r["end"]) for r in gold_io.read_gold(spark, str(path)).collect()] == [("u", 2)]
+    gold_io.write_gold(found, str(tmp_path / "written"))
+    assert gold_io.read_gold(spark, str(tmp_path / "written")).count() == 2
     gold_io.write_scope(found, str(tmp_path / "scope"))
     assert [r["unit_id"] for r in gold_io.read_scope(spark, str(tmp_path / "scope")).collect()] == ["u"]
 
@@ -112,6 +115,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(tuple(r) for r in counts) == [("EMAIL", 20), ("IP", 20)]
 
 
+def test_documents_per_micro_batch(spark, tmp_path):
+    rows = spark.createDataFrame([("d", "Contact Person: Asha Rao\nthen Asha Rao spoke")], "doc_id string, text string")
+    units = line_units(rows)
+    assert [r["unit_id"] for r in units.orderBy("ordinal").collect()] == ["body-0", "body-1"]
+    units.write.parquet(str(tmp_path / "in"))
+    seen = []
+    query = stream.redact_batches(spark.readStream.schema(units.schema).parquet(str(tmp_path / "in")), Settings().only(("NAME",)), lambda run, n: seen.extend(run.texts().collect()), str(tmp_path / "state"))
+    query.processAllAvailable()
+    query.stop()
+    assert len(seen) == 2 and not any("Asha" in r["redacted_text"] for r in seen)
+
+
 @pytest.mark.parametrize("name", sorted(core.ORACLES))
 def test_query_equals_sql(spark, data, name):
     duckdb = pytest.importorskip("duckdb")
