@@ -60,20 +60,6 @@ def doc_crc(col: str | Column = "doc_id") -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
-def texts_of(batch, name: str = "text") -> list:
-    """The strings of an Arrow batch's column, nulls as None."""
-    return batch.column(batch.schema.names.index(name)).to_pylist()
-
-
-def bytes_of(batch, name: str = "text") -> list:
-    """The UTF-8 bytes of an Arrow batch's column, nulls as empty."""
-    import pyarrow as pa
-
-    column = batch.column(batch.schema.names.index(name))
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return [b or b"" for b in column.cast(kind).to_pylist()]
-
-
 def partitions(spark: SparkSession) -> int:
     """How many ways to deal a shuffle whose number of partitions must be stated."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

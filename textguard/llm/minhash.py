@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textguard.llm import memory
@@ -35,6 +35,8 @@ from textguard.llm.common import materialize, small_batches
 ROWS, MISS = 2, 5e-4
 #: Words whose hash one worker keeps; shingles hashed at a time.
 CACHE_WORDS, BLOCK = 400_000, 4096
+#: Tasks among which the partners of one class are dealt.
+HUB_WAYS = 16
 _SEED = 0x5EED
 
 
@@ -166,9 +168,11 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with the sizes of their full sets and of what these have in common."""
+    # a hub has many partners: its set goes to each of the HUB_WAYS tasks that they are dealt to
+    dealt = pairs.withColumn("way", F.pmod(F.xxhash64("a"), F.lit(HUB_WAYS)))
     a = sets.select(F.col("id").alias("a"), F.col("sh").alias("sh_a"))
-    b = sets.select(F.col("id").alias("b"), F.col("sh").alias("sh_b"))
-    met = pairs.join(a, "a").join(b, "b")
+    b = sets.select(F.col("id").alias("b"), F.col("sh").alias("sh_b")).join(dealt.select("b", "way").distinct(), "b")
+    met = dealt.join(a, "a").join(b, ["b", "way"])
     return met.select("a", "b", F.size("sh_a").alias("n_a"), F.size("sh_b").alias("n_b"), F.size(F.array_intersect("sh_a", "sh_b")).alias("c"))
 
 

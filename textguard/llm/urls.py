@@ -23,7 +23,7 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 # The labelled URL table: 1 is to be blocked.
 LABELLED = (
     *((u, 1) for u in "http://casino-win.test/ https://best-casino.test/en/1 http://online-poker.test/join https://free-bets.test/odds/2 http://bets-now.test/ https://cheap-pills.test/buy http://pharma-pills.test/en/7?x=1 https://buy-viagra.test/ http://win-lottery.test/prize https://jackpot-slots.test/spin http://xxx-videos.test/hot https://adult-cams.test/live http://payday-loans.test/apply https://cheap-watches.test/replica http://free-money.test/win https://casino-bonus.test/de/4 http://slots-casino.test/fr/3 https://hot-dating.test/girls http://cheap-meds.test/pills https://sportsbets.test/es/9 http://m.poker-win.test/ https://www.free-casino.test/ http://crack-serials.test/keygen https://miracle-diet.test/pills https://www.pills-store.test/en/12 http://www.cheap-loans.test/fr/2.html https://www.cheap-flights-casino.test/en/8".split()),
-    *((u, 0) for u in "http://news.test/world/2021 https://www.library.test/catalog http://blog.garden.test/tomatoes https://docs.python.test/3/ http://university.test/courses/math https://m.weather.test/today http://museum.test/en/visit https://recipes.test/soup/17 http://history.test/articles/88.html https://www.journal.test/issue?page=2 http://forum.linux.test/t/123 https://city.test/de/rathaus http://school.test/fr/cours https://blog.tion.test/en/3412 http://thther.test/en/7817 https://stable.test/es/2213.html http://www.heand.test/5512/ https://m.onthe.test/de/6652 http://shop.books.test/item/9 https://wiki.test/wiki/Rivers http://maps.test/route https://radio.test/live/stream http://gov.test/forms/tax https://science.test/physics/waves http://erthan.test/en/1837#top https://ingre.test/fr/4163?ref=x".split()),
+    *((u, 0) for u in "http://news.test/world/2021 https://www.library.test/catalog http://blog.garden.test/tomatoes https://docs.manual.test/3/ http://university.test/courses/math https://m.weather.test/today http://museum.test/en/visit https://recipes.test/soup/17 http://history.test/articles/88.html https://www.journal.test/issue?page=2 http://forum.linux.test/t/123 https://city.test/de/rathaus http://school.test/fr/cours https://blog.knitting.test/en/3412 http://gardeners.test/en/7817 https://stable.test/es/2213.html http://www.harbour.test/5512/ https://m.theatre.test/de/6652 http://shop.books.test/item/9 https://wiki.test/wiki/Rivers http://maps.test/route https://radio.test/live/stream http://gov.test/forms/tax https://science.test/physics/waves http://orchestra.test/en/1837#top https://meadow.test/fr/4163?ref=x".split()),
 )
 GRAMS, BUCKETS, EPOCHS, RATE, DECAY = (3, 4, 5), 1 << 16, 300, 0.5, 1e-3
 #: Probability from which a URL without a rule is blocked.
