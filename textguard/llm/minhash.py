@@ -206,8 +206,9 @@ def _pairs(rows: DataFrame, on: list[str], bound) -> DataFrame:
 def _apart(members: DataFrame, sets: DataFrame) -> DataFrame:
     """A row for every shingle of a member outside its hub's set that others of the hub have too."""
     own = sets.select("id", F.col("sh").alias("sh_own"))
-    hub = sets.select(F.col("id").alias("hub"), F.col("sh").alias("sh_hub"))
-    each = members.join(own, "id").join(hub, "hub").withColumn("s", F.explode(F.array_except("sh_own", "sh_hub"))).drop("sh_own", "sh_hub")
+    dealt = members.withColumn("way", F.pmod(F.xxhash64("id"), F.lit(HUB_WAYS)))
+    hub = sets.select(F.col("id").alias("hub"), F.col("sh").alias("sh_hub")).join(dealt.select("hub", "way").distinct(), "hub")
+    each = dealt.join(own, "id").join(hub, ["hub", "way"]).withColumn("s", F.explode(F.array_except("sh_own", "sh_hub"))).drop("sh_own", "sh_hub", "way")
     each = materialize(each, "apart")
     shared = each.groupBy("hub", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select("hub", "s")
     return each.join(shared, ["hub", "s"], "left_semi")
