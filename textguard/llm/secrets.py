@@ -154,3 +154,51 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         fixed = fixed.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return fixed.select(*docs.columns)
+
+
+# The same grammar for DuckDB, whose patterns know neither look-around nor ASCII-only case folding:
+# letters in either case are classes, and a secret-looking string is a whole run that passes tests.
+def _either(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+_TAIL = r"""["']?\x20*[:=]\x20*["']?"""
+_SQL_PATTERNS = (
+    f"({_either('password|passwd|secret|token|api_?key')}){_TAIL}([A-Za-z0-9+/_.=-]+)",
+    ACCESS,
+    f"{HEX[:-1]}{{{HEX_MIN},}}",
+    f"({_either('access_?key_?id|client_?id|account_?id|user_?name|login|user')}){_TAIL}[A-Za-z0-9_.@-]{{3,64}}",
+    "[A-Za-z0-9+/_=-]+",
+    f"({_either('https?')}|{_either('jdbc')}:[A-Za-z]+|{_either('postgres|mysql|mongodb|redis|amqp')})" + r"""://[^\x20\x09-\x0D"'<>]{3,200}""",
+)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _of_kind(values, column: str = "k") -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+_KEPT = (f"length(regexp_extract(hit, {_quoted(_SQL_PATTERNS[0])}, 2)) >= {ASSIGN_MIN}", f"length(hit) >= {ACCESS_MIN}", "true", "true", "regexp_full_match(hit, '[A-Za-z0-9+/]{20,64}={0,2}') AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')", "true")
+_EACH = " UNION ALL ".join(f"SELECT n, {k} AS k, regexp_extract_all(t, {_quoted(p)}) AS h, string_split_regex(t, {_quoted(p)}) AS g FROM texts" for k, p in enumerate(_SQL_PATTERNS))
+_WORD = f"{_of_kind(map(_quoted, KINDS))} || ':' || s || ':' || e"
+ORACLE = f"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS n, t FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents)),
+found AS ({_EACH}),
+hits AS (SELECT n, k, unnest(range(1, len(h) + 1)) AS i, unnest(h) AS hit, unnest(list_slice(g, 1, len(h))) AS gap FROM found WHERE len(h) > 0),
+placed AS (SELECT n, k, hit, (sum(length(gap) + length(hit)) OVER (PARTITION BY n, k ORDER BY i))::BIGINT AS e FROM hits),
+span AS MATERIALIZED (SELECT n, k, e - length(hit) AS s, e FROM placed WHERE {_of_kind(_KEPT)}),
+strong AS (SELECT * FROM span WHERE k < 3),
+weak AS (SELECT * FROM span w WHERE k >= 3 AND NOT EXISTS (SELECT 1 FROM strong x WHERE x.n = w.n AND x.s < w.e AND w.s < x.e)),
+part AS (SELECT *, {_of_kind(_quoted(PARTS[kind]) for kind in KINDS)} AS role FROM (SELECT * FROM strong UNION ALL SELECT * FROM weak)),
+near AS (SELECT w.n, w.k, w.s, w.e, bool_or(p.role = 'ident') AS ident, bool_or(p.role = 'secret') AS secret
+         FROM weak w JOIN part p ON p.n = w.n AND p.s < w.e + {SCOPE} AND w.s < p.e + {SCOPE} AND (p.s, p.e, p.k) <> (w.s, w.e, w.k) GROUP BY w.n, w.k, w.s, w.e),
+kept AS (SELECT n, k, s, e FROM strong UNION ALL SELECT n, k, s, e FROM near WHERE {_of_kind(("false", "false", "false", "secret", "ident", "ident AND secret"))}),
+listed AS (SELECT n, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                  string_agg({_WORD}, ',' ORDER BY s, k, e) FILTER (k < 3) AS base, string_agg({_WORD}, ',' ORDER BY s, k, e) AS spans FROM kept GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents JOIN texts ON t = coalesce(text, '') LEFT JOIN listed USING (n)
+"""
