@@ -196,11 +196,23 @@ def _may_link_apart(percent: int):
     return F.lit(100) * F.least("c_a", "c_b") >= F.lit(percent) * (F.greatest("c_a", "c_b") + rests)
 
 
+def _mixed(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of the groups ``on`` that hold several components, with the greatest one of their group as main."""
+    parts = rows.groupBy(*on, "root").agg(F.count(F.lit(1)).alias("m"))
+    several = parts.groupBy(*on).agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
+    return rows.join(several.drop("parts"), on)
+
+
 def _pairs(rows: DataFrame, on: list[str], bound) -> DataFrame:
-    """Distinct pairs (a, b) of different components that meet on ``on`` and that the bound allows."""
-    side = lambda x: rows.select(*on, *[F.col(c).alias(f"{name}_{x}") for c, name in (("id", "id"), ("n", "n"), ("u", "u"), ("root", "root"), ("c", "c"))], F.col("hub").alias(f"hub_{x}"))
-    met = side("a").join(side("b"), on).where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & bound)
-    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    """Distinct pairs (a, b) of different components that meet on ``on`` and that the bound allows.
+
+    Members of a group's main component are met by those outside of it, never by each other: a
+    group of near copies that are one component costs its size times the number of the rest.
+    """
+    side = lambda r, x: r.select(*on, *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "u", "root", "c", "hub", "main")])
+    once = (F.col("root_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b"))
+    met = side(rows.where(F.col("root") != F.col("main")), "a").join(side(rows, "b"), on).where((F.col("root_a") != F.col("root_b")) & once & bound)
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def _apart(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -210,8 +222,7 @@ def _apart(members: DataFrame, sets: DataFrame) -> DataFrame:
     hub = sets.select(F.col("id").alias("hub"), F.col("sh").alias("sh_hub")).join(dealt.select("hub", "way").distinct(), "hub")
     each = dealt.join(own, "id").join(hub, ["hub", "way"]).withColumn("s", F.explode(F.array_except("sh_own", "sh_hub"))).drop("sh_own", "sh_hub", "way")
     each = materialize(each, "apart")
-    shared = each.groupBy("hub", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select("hub", "s")
-    return each.join(shared, ["hub", "s"], "left_semi")
+    return _mixed(each, ["hub", "s"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -245,8 +256,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # 5. tables that still hold several components
     known = bound.join(stars.select(F.col("a").alias("id"), F.col("b").alias("hub"), "c"), "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = tables.join(known, "id")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select("key")
-    open_ = materialize(placed.join(mixed, "key", "left_semi"), "open")
+    open_ = materialize(_mixed(placed, ["key"]), "open")
     across = _pairs(open_, ["key"], _may_link(percent) & ((F.col("hub_a") != F.col("hub_b")) | _may_link_apart(percent)))
     apart = _apart(open_.select("id", "n", "u", "root", "hub", "c").distinct(), sets)
     akin = _pairs(apart, ["hub", "s"], _may_link(percent))
