@@ -155,6 +155,23 @@ def test_weak_parts_need_each_other(spark):
     assert masked[1] == "[IDENT] and [SECRET] at [ENDPOINT]" and masked[2] == rows[1][1]
 
 
+def test_long_weak_parts_are_whole(spark):
+    key, url, name = "abCD1234" * 11, "https://db.example.org/" + "path/x." * 40, "bob." * 30
+    rows = [(1, f"user: bob and {key} at {url}"), (2, f"user: {name} and {key[:86]}== at {url}"), (3, f"user: bob and {key}"), (4, f"{key} alone"), (5, f"user: bob and {'abcdEFGH' * 11}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(frame).collect()}
+    assert masked == {1: "[IDENT] and [SECRET] at [ENDPOINT]", 2: "[IDENT] and [SECRET] at [ENDPOINT]", 3: "[IDENT] and [SECRET]", 4: rows[3][1], 5: rows[4][1]}
+    spans = {r["doc_id"]: r["spans"] for r in secrets.report_secrets(frame).collect()}
+    assert spans[1] == f"ident:0:9,secret:14:{14 + len(key)},endpoint:{18 + len(key)}:{18 + len(key) + len(url)}"
+
+
+def test_secrets_with_prefixes_and_hyphens(spark):
+    keys = ["ghp_" + "a1B2c3" * 6, "abCD-1234-efGH-5678-ijKL", "550e8400-e29b-41d4-a716-446655440000"]
+    rows = [(k, f"user: bob and {x}") for k, x in enumerate(keys)]
+    masked = [r["text"] for r in secrets.mask_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert masked == ["[IDENT] and [SECRET]"] * len(keys)
+
+
 def test_linked_secrets_equal_sql(spark):
     import duckdb
     import pandas as pd
