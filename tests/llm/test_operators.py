@@ -204,6 +204,20 @@ def test_edited_texts(docs, texts):
         assert by_text.setdefault(t, r["fingerprint"]) == r["fingerprint"]
 
 
+def test_few_anchors_do_not_hide_a_text():
+    words = [f"zq{a}{b}{c}" for a in "bcdfg" for b in "hjklm" for c in "npqrs"]
+    for n in (30, 125):
+        for stray in ((0,), (n // 2,), (1, n // 2, n - 4)):
+            body = [w for k, w in enumerate(words[:n]) for w in (("the", w) if k in stray else (w,))]
+            whole, at = spotsigs.signatures(" ".join(body)), body.index("the") + 1
+            assert len(whole) > n // 2
+            for k in (at, at + 4, at + 7):  # the chain's own word, and others of its stretch
+                edited = [*body[:k], "zqedit", *body[k + 1 :]]
+                assert body[k] != "the" and 0.7 < spotsigs.likeness(whole, spotsigs.signatures(" ".join(edited))) < 1
+    dense = " ".join(f"the {w}" for w in words)
+    assert len(spotsigs.signatures(dense)) == len(words)
+
+
 def test_spotsigs_pairs_equal_brute_force(spark):
     rng = random.Random(4)
     words = [f"c{k}x{chr(97 + k % 26)}" for k in range(400)]

@@ -4,7 +4,12 @@ A text's fingerprint is the set of hashes of its signatures. Sets are compared b
 likeness, pruned by their lengths first: sets whose lengths differ too much cannot be
 alike, and a merge stops once the threshold is out of reach.
 
-Defined results: null is empty; a text without signatures but with words falls back on
+Stretches without anchors are represented too: where a text goes ``GAP`` or more content words
+from one anchored chain (or its beginning) to the next (or its end), a chain starts at every word
+of the stretch. The rule looks at the stretch alone, so it is the same for texts of every size, and
+an anchor more or less changes the chains around it only.
+
+Defined results: null is empty; a text without anchored chains but with words has
 chains that start at every word; a text without words has the empty fingerprint; two
 empty fingerprints are alike (1.0), an empty and a full one are not (0.0); repeated
 rows are compared like others; in ties of ``doc_id`` the order is that of the texts.
@@ -24,6 +29,8 @@ from textguard.llm.lexicon import ANCHORS, LETTERS
 
 #: Content words in a chain; near duplicates have at least this likeness.
 CHAIN, THRESHOLD = 3, 0.8
+#: Content words from one anchored chain to the next from which chains start at every word between.
+GAP = 8
 #: Words whose hash one worker keeps.
 CACHE_WORDS = 400_000
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -59,6 +66,11 @@ def signatures(text: str | None):
         starts = starts[starts < len(content)]
         if not len(starts):
             starts = np.arange(len(content))
+        else:
+            gaps = np.diff(np.concatenate([[0], starts, [len(content)]]))
+            opened = np.repeat(gaps >= GAP, gaps)
+            opened[starts] = True
+            starts = np.flatnonzero(opened)
     padded = np.concatenate([content, np.zeros(CHAIN, np.uint64)])
     mixed = np.zeros(len(starts), np.uint64)
     for k in range(CHAIN):
