@@ -270,6 +270,17 @@ def test_ids_equal_the_library(texts):
         assert enc.encode(t) == enc.whole(t)
 
 
+def test_added_tokens_equal_a_fresh_library(texts):
+    from tokenizers import Tokenizer
+
+    fresh, enc = Tokenizer.from_file(bpe.default_path()), bpe.Encoder(bpe.default_path())
+    made = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y z", "a  <|endoftext|>\n b", "plain words and <|endoftext|>. More", "<|endoftext", "é日 <|endoftext|>é"]
+    for t in [*made, *list(texts.values())[:100]]:
+        want = b"".join(i.to_bytes(4, "little") for i in fresh.encode(t, add_special_tokens=False).ids)
+        assert enc.encode(t) == want
+    assert enc.encode(made[0]) == b"".join(i.to_bytes(4, "little") for i in (64, 220, 50256, 275))
+
+
 def library_ids(text, end):
     return bpe.encoder(bpe.default_path()).whole(text or "") + end.to_bytes(4, "little")
 

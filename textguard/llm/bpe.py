@@ -3,8 +3,8 @@
 A byte-level BPE never joins characters across a space that stands alone between words,
 so a text's ids are the ids of its pieces laid end to end. Pieces repeat, whole texts
 don't: a worker asks the library for a piece once while its cache has room. Plain pieces
-go to the library's BPE model word by word, all others (and texts with odd white space,
-and tokenizers of another kind) through its full encoder.
+go to the library's BPE model word by word, all others (and texts with odd white space or
+with an added token such as <|endoftext|>, and tokenizers of another kind) through its full encoder.
 """
 
 from __future__ import annotations
@@ -92,8 +92,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in spec.get("added_tokens") or () if t["content"]]
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec["model"].get("type") == "BPE" and not any(spec["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
         self.pieces = _Pieces(self.tokenizer.model, self.whole)
@@ -106,7 +106,7 @@ class Encoder:
         """Little-endian 32-bit ids; null is empty."""
         if not text:
             return b""
-        if not self.by_piece or _ODD_SPACE.search(text):
+        if not self.by_piece or _ODD_SPACE.search(text) or any(t in text for t in self.added):
             return self.whole(text)
         head, *tail = text.split(" ")
         return (self.pieces.ids(head) if head else b"") + b"".join(map(self.pieces.__getitem__, tail))
