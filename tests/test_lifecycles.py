@@ -144,6 +144,44 @@ def test_query_equals_sql(spark, data, name):
     assert got == sorted(plain(r) for r in want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
+def brute_page_spans(text):
+    import re
+
+    from textguard.functions import patterns as P
+    from textguard.schema import PRIORITY
+
+    figures = lambda v: "".join(c for c in v if c.isdigit())
+    found = [(m.start(), m.end(), "EMAIL") for m in re.finditer(P.EMAIL, text)]
+    for m in re.finditer(P.PHONE[4:], text):
+        v, d = m[0], figures(m[0])
+        before, after = text[max(m.start() - 2, 0) : m.start()].lower(), text[m.end() : m.end() + 12].lower()
+        shaped = (len(d) == 10 and d[0] in "6789") or (d[:2] == "91" and len(d) in (11, 12)) or v.strip(" ")[0] == "+" or (re.search("[- ]", v) and len(d) in (10, 11))
+        if 10 <= len(d) <= 13 and "₹" not in before and "rs" not in before and not re.match(P.PHONE_UNITS[4:], after) and shaped:
+            found.append((m.start() + len(v) - len(v.lstrip(" -")), m.end() - len(v) + len(v.rstrip(" -")), "PHONE"))
+    for m in re.finditer(P.CREDIT_CARD[4:], text):
+        d = [int(c) for c in figures(m[0])][::-1]
+        if 13 <= len(d) <= 16 and sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(d)) % 10 == 0:
+            found.append((m.start(), m.start() + len(m[0].rstrip(" -")), "CREDIT_CARD"))
+    found += [(m.start(), m.end(), "IP") for m in re.finditer(P.IP[4:], text) if all(int(o) <= 255 for o in m[0].split("."))]
+    kept = []
+    for s in sorted(found, key=lambda s: (-PRIORITY[s[2]], s[0] - s[1], s[0])):
+        if all(s[1] <= o[0] or o[1] <= s[0] for o in kept):
+            kept.append(s)
+    return kept
+
+
+def test_page_spans_equal_brute_force(spark, tmp_path):
+    made = {1: "<p>call +91 98765 43210 or <b>022-55501234</b></p>", 2: '<td>4111 1111 1111 1111</td><a href="mailto:a@x.com">10.20.30.40</a>', 3: "<i>4111111111111112 and 999.1.1.1, ₹9876543210</i>", 4: None, 5: ""}
+    spark.createDataFrame(list(made.items()), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    for folder, texts in ((str(tmp_path), made), ("/root/testdata/sf0.01", {r["page_id"]: r["html"] for r in pages.collect()})):
+        got = core.QUERIES["page_spans"](spark, folder).collect()
+        assert all(texts[int(r["doc_id"])][r["span_start"] : r["span_end"]] == r["value"] for r in got)
+        want = sorted((str(k), *s) for k, t in texts.items() for s in brute_page_spans(t or ""))
+        assert sorted((r["doc_id"], r["span_start"], r["span_end"], r["category"]) for r in got) == want
+        assert {"PHONE", "CREDIT_CARD"} <= {s[3] for s in want}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
