@@ -99,6 +99,22 @@ def test_backoff_to_ngrams():
     assert langs == ["a", "a", "b", "und", "und", "und"] and scores[0] > 0.5 and scores[3] == 0
 
 
+def test_blocks_score_as_whole_texts(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    full = rng.normal(size=(40, toxicity.DIM))
+    filters = [rng.normal(size=(w, toxicity.DIM, 5)) for w in toxicity.WIDTHS]
+    biases = rng.normal(size=5 * len(toxicity.WIDTHS))
+    model = toxicity.Cnn([], full, filters, biases, rng.normal(size=len(biases)), 0.0, [])
+    for n in range(24):
+        rows = rng.integers(0, 40, n)
+        monkeypatch.setattr(toxicity, "BLOCK_WORDS", 50_000)
+        whole = toxicity.logit(model, full, rows)
+        monkeypatch.setattr(toxicity, "BLOCK_WORDS", 5)
+        assert abs(toxicity.logit(model, full, rows) - whole) < 1e-9
+
+
 def test_toxic_words_are_learned(spark):
     rng = random.Random(1)
     words = [f"w{''.join(rng.choices('abcdefgh', k=4))}" for _ in range(300)]
