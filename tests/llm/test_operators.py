@@ -99,6 +99,12 @@ def test_backoff_to_ngrams():
     assert langs == ["a", "a", "b", "und", "und", "und"] and scores[0] > 0.5 and scores[3] == 0
 
 
+def test_texts_with_letters_stay_without_languages(spark):
+    rows = [(1, "plain words", None), (2, "日本語", None), (3, "123 456", None), (4, None, None), (5, "", None)]
+    got = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 2]
+
+
 def test_blocks_score_as_whole_texts(monkeypatch):
     import numpy as np
 

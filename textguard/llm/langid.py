@@ -195,6 +195,8 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The pipeline's filter: documents without an identifiable language go, the rest stay unchanged."""
+    """The pipeline's filter: null and letterless documents go, the rest stay unchanged, also with nothing to learn from."""
     model = train(docs, F.lit(True))
+    if not model.langs:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     return identify(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
