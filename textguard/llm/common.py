@@ -1,23 +1,19 @@
-"""Shared plumbing: tables, scratch space on the shared file system, Arrow maps, prefix sums.
-
-Scratch tables go below the folder the cluster names in ``spark.checkpoint.dir``.
-They are plain Parquet, so a lost executor never loses an intermediate result.
-"""
+"""Shared plumbing: tables, Arrow maps, fold rules, numbers of partitions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.sources import workers
+from textguard.sources.scratch import Scratch, scratch_path
+
+__all__ = ["Scratch", "doc_crc", "materialize", "partitions", "row_key", "scratch_path", "small_batches", "table"]
 
-#: Rows in one Arrow batch: bounds the memory of a Python worker when texts are long.
-ARROW_ROWS = 1000
-#: Bytes of a row group of a scratch table: what a writing task buffers.
-SCRATCH_BLOCK = 16 << 20
+#: Rows and bytes of one Arrow batch: bound the memory of a Python worker when texts are long.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+#: Bytes of stored input to a task of a range shuffle.
+TASK_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,33 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; a local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="textguard-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/textguard-{label}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to shared scratch and read it back: cuts lineage, survives executors."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.write.option("parquet.block.size", SCRATCH_BLOCK).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, label).put(df, label)
+
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, as texts may be very long, and let workers find this package.
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches small, as texts may be very long, and let workers find this package."""
+    Lazy frames take these settings when they run, so they stay; all operators set the same values,
+    and never above what the session has.
+    """
     workers.ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        held = str(spark.conf.get(f"spark.sql.execution.arrow.{name}")).rstrip("bB")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def doc_crc(col: str | Column = "doc_id") -> Column:
@@ -60,6 +45,16 @@ def doc_crc(col: str | Column = "doc_id") -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
-def partitions(spark: SparkSession) -> int:
-    """How many ways to deal a shuffle whose number of partitions must be stated."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def row_key() -> Column:
+    """A row's doc_id and text as 16 bytes, never null: what stands for the row where ids may repeat or lack."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"), F.coalesce("text", F.lit(""))).cast("binary")))
+
+
+def partitions(df: DataFrame) -> int:
+    """How many ways to deal a range shuffle of ``df``: by its stored bytes, and as the session has it at least."""
+    spark = df.sparkSession
+    leaves, stored = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for k in range(leaves.size()):
+        size = int(str(leaves.apply(k).stats().sizeInBytes()))
+        stored += size if size < 1 << 60 else 0  # unknown sizes are reported as the greatest number
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-stored // TASK_BYTES))

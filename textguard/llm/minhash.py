@@ -6,37 +6,49 @@ minhashes. Candidates are verified on full shingle sets.
 
 Links are found without meeting all pairs of a group:
 
-1. equal shingle sets form a class, and only its least document goes on;
+1. equal shingle sets form a class with a number of its own, and one text of it goes on;
 2. classes that share a table key are candidates; their full sets are written;
 3. a shingle that no other candidate has can be in no intersection, so the number of
    shared shingles bounds every likeness of a class, and most false candidates go here;
 4. in each table the member with the greatest shared part is the hub; each class is
    compared with one hub, and components are formed;
-5. where a table still holds several components, pairs across them are verified too, and
-   the components are formed anew. Two classes of one hub meet only if they share a
-   shingle outside the hub's set, or if their parts inside and outside of it allow a link.
+5. while a table holds several components, a new hub is drawn in it, and each class
+   of another component meets the new hub it shares the most tables with: one pair a class
+   and round, as long as rounds find links;
+6. across components that still share a table, all pairs that may link are verified. Two classes
+   of one hub meet only if they share one of their rarest shingles outside the hub's set, as
+   many as a link would need, or if their parts inside and outside of it allow a link.
+
+With ``exact`` the keys are no hashes of minhashes but the rarest shingles of each class, as many
+as two sets at the threshold must share one of: no link is missed, at the price of more candidates.
 
 Defined results: texts without words (null, empty) have an empty set and no link; a
-short text is one shingle; rows with one doc_id and one set get the same result each;
-an empty table gives no rows; other columns are ignored (or passed on by ``keep_first``).
+short text is one shingle; a very long text has its whole set, which one task holds; a document is a
+row: rows with one doc_id but several texts are linked each by its own text, and
+equal rows get the same result each; the order of rows does not matter. component_id is the least
+doc_id reachable; a null id is no id: its row goes if its component has one, and a component
+without any has a null component_id and stays. An empty table gives no rows; other columns
+are ignored (or passed on by ``keep_first``).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textguard.llm import memory
-from textguard.llm.common import materialize, small_batches
+from textguard.llm.common import Scratch, row_key, small_batches
 
 #: Minhashes in a sub-key; share of pairs at the very threshold that no table may meet.
 ROWS, MISS = 2, 5e-4
 #: Words whose hash one worker keeps; shingles hashed at a time.
 CACHE_WORDS, BLOCK = 400_000, 4096
-#: Tasks among which the partners of one class are dealt.
-HUB_WAYS = 16
+#: Partners of one class that go to one task.
+HUB_PARTNERS = 256
+#: Rounds of new hubs go on while at least one of so many comparisons finds a link.
+ROUND_YIELD = 8
 _SEED = 0x5EED
 
 
@@ -118,15 +130,16 @@ def _sign(width: int, side: int):
         family = _family(2 * side * ROWS)
         for batch in batches:
             n, digest, one, two = [], [], [], []
-            for raw in _raw(batch.column(1)):
+            for key, raw in zip(batch.column(1).to_pylist(), _raw(batch.column(2)), strict=True):
                 found = shingles(raw, width)
                 n.append(len(found))
-                digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                # a row without shingles is in no class; its own key keeps such rows from meeting in one task
+                digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else key)
                 keys = sub_keys(found, family, side) if len(found) else None
                 one.append(None if keys is None else keys[:side])
                 two.append(None if keys is None else keys[side:])
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(one, pa.list_(pa.int64())), pa.array(two, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "set", "one", "two"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(one, pa.list_(pa.int64())), pa.array(two, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "set", "one", "two"])
 
     return run
 
@@ -144,13 +157,13 @@ def _full(width: int):
     return run
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, work: Scratch) -> DataFrame:
     """Components (id, root) of an edge list (a, b): least id reachable, by rounds of hooking and jumping.
 
     Every round lets each id take the least root among its neighbours and then its root's
     root; rounds are written to shared scratch, and only a count comes to the driver.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    both = work.put(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     roots = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id")
     while True:
         seen = roots.select(F.col("id").alias("b"), F.col("root").alias("r"))
@@ -160,19 +173,26 @@ def connected(edges: DataFrame) -> DataFrame:
         told = hooked.select(F.col("was").alias("id"), "next").union(hooked.select("id", "next")).groupBy("id").agg(F.min("next").alias("root"))
         jump = told.select(F.col("id").alias("root"), F.col("root").alias("over"))
         new = told.join(jump, "root", "left").select("id", F.least("root", F.coalesce("over", "root")).alias("root"))
-        changed = materialize(new.join(roots.withColumnRenamed("root", "was"), "id").select("id", "root", (F.col("root") != F.col("was")).alias("moved")), "roots")
+        changed = work.put(new.join(roots.withColumnRenamed("root", "was"), "id").select("id", "root", (F.col("root") != F.col("was")).alias("moved")), "roots")
         roots = changed.select("id", "root")
         if changed.where("moved").limit(1).count() == 0:
             return roots
 
 
+def _dealt(pairs: DataFrame, many: str, one: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs with a number ``way``, and (one, way): as many ways as a class on the side ``one`` has HUB_PARTNERS of ``many``."""
+    sizes = pairs.groupBy(one).agg(F.ceil(F.count(F.lit(1)) / HUB_PARTNERS).cast("int").alias("ways"))
+    spread = pairs.join(sizes, one).withColumn("way", F.pmod(F.xxhash64(many), F.col("ways")).cast("int")).drop("ways")
+    return spread, sizes.select(one, F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+
+
 def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with the sizes of their full sets and of what these have in common."""
-    # a hub has many partners: its set goes to each of the HUB_WAYS tasks that they are dealt to
-    dealt = pairs.withColumn("way", F.pmod(F.xxhash64("a"), F.lit(HUB_WAYS)))
+    # a hub has many partners: its set goes to each of the tasks that they are dealt to
+    spread, ways = _dealt(pairs, "a", "b")
     a = sets.select(F.col("id").alias("a"), F.col("sh").alias("sh_a"))
-    b = sets.select(F.col("id").alias("b"), F.col("sh").alias("sh_b")).join(dealt.select("b", "way").distinct(), "b")
-    met = dealt.join(a, "a").join(b, ["b", "way"])
+    b = sets.select(F.col("id").alias("b"), F.col("sh").alias("sh_b")).join(ways, "b")
+    met = spread.join(a, "a").join(b, ["b", "way"])
     return met.select("a", "b", F.size("sh_a").alias("n_a"), F.size("sh_b").alias("n_b"), F.size(F.array_intersect("sh_a", "sh_b")).alias("c"))
 
 
@@ -203,6 +223,17 @@ def _mixed(rows: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(several.drop("parts"), on)
 
 
+def _round(open_: DataFrame, number: int) -> DataFrame:
+    """Pairs (a, b) of a round: each class and the new hub, of another component, that it shares the most tables with."""
+    drawn = F.struct(F.xxhash64(F.lit(number), F.col("id")), F.col("id"))
+    # of the main component and of the others one hub each: whoever stands in the one meets the other's
+    hubs = open_.groupBy("key", (F.col("root") == F.col("main")).alias("inner")).agg(F.max_by(F.struct("id", "root"), drawn).alias("hub"))
+    met = open_.select("id", "root", "key").join(hubs, "key").where(F.col("hub.root") != F.col("root"))
+    shared = met.groupBy("id", F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("tables"))
+    best = shared.groupBy("id").agg(F.max_by("hub", F.struct("tables", "hub")).alias("hub"))
+    return best.select(F.col("id").alias("a"), F.col("hub").alias("b"))
+
+
 def _pairs(rows: DataFrame, on: list[str], bound) -> DataFrame:
     """Distinct pairs (a, b) of different components that meet on ``on`` and that the bound allows.
 
@@ -215,63 +246,122 @@ def _pairs(rows: DataFrame, on: list[str], bound) -> DataFrame:
     return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def _apart(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """A row for every shingle of a member outside its hub's set that others of the hub have too."""
-    own = sets.select("id", F.col("sh").alias("sh_own"))
-    dealt = members.withColumn("way", F.pmod(F.xxhash64("id"), F.lit(HUB_WAYS)))
-    hub = sets.select(F.col("id").alias("hub"), F.col("sh").alias("sh_hub")).join(dealt.select("hub", "way").distinct(), "hub")
-    each = dealt.join(own, "id").join(hub, ["hub", "way"]).withColumn("s", F.explode(F.array_except("sh_own", "sh_hub"))).drop("sh_own", "sh_hub", "way")
-    each = materialize(each, "apart")
-    return _mixed(each, ["hub", "s"])
-
+def _apart(members: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
+    """A row for each rare shingle of a member outside its hub's set that others of the hub have too.
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id and kept (the least id of its component)."""
+    A link needs percent of a member's shingles in common and finds c of them in the hub's set at
+    most; the rest must be common outside of it, so two that link share one of their rarest.
+    """
+    own = sets.select("id", F.col("sh").alias("sh_own"))
+    spread, ways = _dealt(members, "id", "hub")
+    hub = sets.select(F.col("id").alias("hub"), F.col("sh").alias("sh_hub")).join(ways, "hub")
+    each = spread.join(own, "id").join(hub, ["hub", "way"]).withColumn("s", F.explode(F.array_except("sh_own", "sh_hub"))).drop("sh_own", "sh_hub", "way")
+    each = work.put(each, "apart")
+    rarity = each.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > 1)
+    shared = each.join(rarity, ["hub", "s"])
+    # shingles that no other member has are the rarest of all, so they count among the first
+    alone = F.col("n") - F.col("c") - F.count(F.lit(1)).over(Window.partitionBy("id"))
+    rank = alone + F.row_number().over(Window.partitionBy("id").orderBy("f", "s"))
+    need = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100 - 1e-9) - F.col("c"))
+    rare = shared.withColumns({"rank": rank, "need": need}).where(F.col("rank") <= F.col("n") - F.col("c") - F.col("need") + 1)
+    return _mixed(rare.drop("rank", "need", "f"), ["hub", "s"])
+
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, key): the rarest shingles of each class, as many as a pair at the threshold must share one of."""
+    each = sets.select("id", "n", F.explode("sh").alias("key"))
+    rarity = each.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "key"))
+    first = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100 - 1e-9) + 1
+    return each.join(rarity, "key").withColumn("rank", rank).where(F.col("rank") <= first).select("id", "key")
+
+
+def _components(docs: DataFrame, width: int, percent: int, exact: bool) -> DataFrame:
+    """Per row of ``docs``: doc_id, key of the row, n, component (null without an id in it)."""
     spark = docs.sparkSession
     small_batches(spark)
     side = tables_a_side(percent)
-    signed = materialize(docs.select("doc_id", "text").mapInArrow(_sign(width, side), "doc_id long, n long, set binary, one array<long>, two array<long>"), "signed")
-    classes = signed.where(F.col("n") > 0).groupBy("set").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "one", "two"), F.struct("doc_id", "n")).alias("x"))
-    classes = materialize(classes.where(F.col("id").isNotNull()).select("set", "id", "x.n", "x.one", "x.two"), "classes")
-    keys = F.flatten(F.transform("one", lambda a, i: F.transform("two", lambda b, j: F.xxhash64(i, j, a, b))))
-    tables = classes.select("id", F.explode(keys).alias("key"))
-    met = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("key")
-    tables = materialize(tables.join(met, "key", "left_semi"), "tables")
-    candidates = tables.select("id").distinct()
-    # ids of candidates only; their texts are read again rather than keeping all sets
-    texts = docs.select("doc_id", "text").join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(_full(width), "id long, n long, sh array<long>"), "sets")
-    lone = sets.select("id", F.explode("sh").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where(F.col("c") == 1).groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
-    bound = sets.select("id", "n").join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("u"))
-    bound = materialize(bound.where(F.lit(100) * F.col("u") >= F.lit(percent) * F.col("n")).dropDuplicates(["id"]), "bound")
-    sets = sets.join(bound.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    live = materialize(tables.join(bound, "id"), "live")
+    texts = docs.select("doc_id", row_key().alias("key"), "text")
+    with Scratch(spark, "minhash") as work:
+        signed = work.put(texts.mapInArrow(_sign(width, side), "doc_id long, key binary, n long, set binary, one array<long>, two array<long>"), "signed")
+        classes = signed.where(F.col("n") > 0).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first(F.struct("n", "one", "two")).alias("x"))
+        # numbers given while the table is written: they stay, and two classes never share one
+        classes = work.put(classes.select(F.monotonically_increasing_id().alias("id"), "set", "doc_id", "key", "x.n", "x.one", "x.two"), "classes")
+
+        def full(of: DataFrame) -> DataFrame:
+            """Whole sets of classes; their texts are read again rather than keeping all sets. Equal rows are one."""
+            one = texts.where(F.col("text").isNotNull()).select("key", "text").dropDuplicates(["key"])
+            return work.put(one.join(of.select("id", "key"), "key").select("id", "text").mapInArrow(_full(width), "id long, n long, sh array<long>"), "sets")
+
+        if exact:
+            sets = full(classes)
+            tables = _rarest(sets, percent)
+        else:
+            keys = F.flatten(F.transform("one", lambda a, i: F.transform("two", lambda b, j: F.xxhash64(i, j, a, b))))
+            tables = classes.select("id", F.explode(keys).alias("key"))
+        met = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("key")
+        tables = work.put(tables.join(met, "key", "left_semi"), "tables")
+        candidates = tables.select("id").distinct()
+        sets = sets.join(candidates, "id", "left_semi") if exact else full(classes.select("id", "key").join(candidates, "id"))
+        lone = sets.select("id", F.explode("sh").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where(F.col("c") == 1).groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+        bound = sets.select("id", "n").join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("u"))
+        bound = work.put(bound.where(F.lit(100) * F.col("u") >= F.lit(percent) * F.col("n")), "bound")
+        sets = sets.join(bound.select("id"), "id", "left_semi")
+        roots = _roots(tables, bound, sets, percent, work)
+        placed = classes.select("id", "set", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        least = placed.groupBy("root").agg(F.min("doc_id").alias("component"))
+        found = signed.select("doc_id", "key", "n", "set").join(placed.select("root", "set").join(least, "root").select("set", "component"), "set", "left")
+        lonely = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+        return Scratch(spark, "components").put(found.select("doc_id", "key", "n", lonely.alias("component")), "found")
+
+
+def _roots(tables: DataFrame, bound: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
+    """Steps 4 to 6: components (id, root) of the classes that have a link."""
+    live = work.put(tables.join(bound, "id"), "live")
     # 4. hubs: the member of a table with the greatest shared part; a class keeps its best one
     ratio = F.struct((F.col("u") / F.col("n")).alias("r"), (-F.col("id")).alias("i"))
     hubs = live.groupBy("key").agg(F.max(ratio).alias("best"), F.max_by("id", ratio).alias("hub"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
     stars = live.join(hubs, "key").groupBy("id").agg(F.max_by("hub", "best").alias("hub"))
-    stars = materialize(_common(stars.select(F.col("id").alias("a"), F.col("hub").alias("b")), sets), "stars")
+    stars = work.put(_common(stars.select(F.col("id").alias("a"), F.col("hub").alias("b")), sets), "stars")
     links = stars.where(F.col("a") != F.col("b")).where(_linked(percent)).select("a", "b")
-    roots = connected(links)
-    # 5. tables that still hold several components
-    known = bound.join(stars.select(F.col("a").alias("id"), F.col("b").alias("hub"), "c"), "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = tables.join(known, "id")
-    open_ = materialize(_mixed(placed, ["key"]), "open")
+    hubs = stars.select(F.col("a").alias("id"), F.col("b").alias("hub"), "c")
+    number = 0
+    while True:
+        roots = connected(links, work)
+        known = bound.join(hubs, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = work.put(_mixed(tables.join(known, "id"), ["key"]), "open")
+        # 5. a round of new hubs
+        number += 1
+        tried = work.put(_common(_round(open_, number), sets).select("a", "b", _linked(percent).alias("linked")), "tried")
+        made, hit = tried.agg(F.count(F.lit(1)), F.count_if("linked")).first()
+        if hit:
+            links = work.put(links.union(tried.where("linked").select("a", "b")), "links")
+        if not hit or hit * ROUND_YIELD < made:
+            break
+    if hit:
+        roots = connected(links, work)
+        known = bound.join(hubs, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = work.put(_mixed(tables.join(known, "id"), ["key"]), "open")
+    # 6. tables that still hold several components
     across = _pairs(open_, ["key"], _may_link(percent) & ((F.col("hub_a") != F.col("hub_b")) | _may_link_apart(percent)))
-    apart = _apart(open_.select("id", "n", "u", "root", "hub", "c").distinct(), sets)
+    apart = _apart(open_.select("id", "n", "u", "root", "hub", "c").distinct(), sets, percent, work)
     akin = _pairs(apart, ["hub", "s"], _may_link(percent))
-    late = _common(across.union(akin).distinct(), sets).where(_linked(percent)).select("a", "b")
-    roots = connected(materialize(links.union(late), "links"))
-    whole = classes.join(roots, "id", "left").select("set", F.coalesce("root", "id").alias("root"))
-    found = signed.select("doc_id", "n", "set").join(whole, "set", "left")
-    component = F.coalesce("root", "doc_id")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component; rows with one doc_id stay or go together."""
-    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    late = work.put(_common(across.union(akin).distinct(), sets).where(_linked(percent)).select("a", "b"), "late")
+    return connected(links.union(late), work) if late.limit(1).count() else roots
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id and kept (the least id of its component)."""
+    found = _components(docs, width, percent, exact)
+    kept = F.col("component").isNull() | F.col("doc_id").eqNullSafe(F.col("component"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
+    """``docs`` with one document of each component; equal rows stay or go together."""
+    found = _components(docs, width, percent, exact)
+    gone = found.where(F.col("component").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("key").alias("__key")).distinct()
+    return docs.withColumn("__key", row_key()).join(gone, "__key", "left_anti").select(*docs.columns)
 
 
 # The contract of three words and 0.85 by plain set joins; components as what is reachable.
