@@ -6,9 +6,13 @@ within the same scope: an interval join of candidates and parts, on blocks of co
 decides. An identifier needs a secret, a secret-looking string needs an identifier, an endpoint
 needs both.
 
+Rows get a number of their own while the candidates are written, so the join needs neither ids nor
+texts, and rows that are alike never meet in one task. Texts are not shuffled.
+
 Spans are code points, end exclusive. Defined results: a null text is empty and has no
-spans; repeated rows each get their own result; an empty table gives no rows; other
-columns are ignored.
+spans; very long texts are scanned whole; a null id is passed on; repeated rows each get their own
+result; of spans with one start the order is that of the kinds, then of the ends; an empty table gives
+no rows; other columns are ignored (or passed on by ``mask_secrets``).
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import materialize
+from textguard.llm.common import Scratch
 
 # Patterns of the strong kinds, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,11 +31,12 @@ HEX = r"[0-9a-f]+"
 ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
 # Weak kinds: only together with complementary parts.
 IDENT = r"""(?i:access_?key_?id|client_?id|account_?id|user_?name|login|user)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
-# maximal runs, of any length; which of them look secret is tested on the run. A run with _ counts after a known
-# prefix only: the SQL counterpart, and the test against it, take no other run with _ for a secret
+# maximal runs, of any length; which of them look secret is tested on the run. A run with _ may be a name in a program: it
+# counts after a known prefix, or where small and capital letters and digits mix (base64url)
 SECRET = r"[A-Za-z0-9+/_=-]{20,}"
 SECRET_RUN = r"^(?:(?:gh[oprsu]|github_pat|glpat|[prs]k_(?:live|test)|npm|hf)_[A-Za-z0-9_-]+|[A-Za-z0-9+/-]{20,}={0,2})$"
 ENDPOINT = r"(?i:https?|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,}"
+SECRET_MIXED = r"^[A-Za-z0-9_-]{20,}={0,2}$"
 KINDS = ("assign", "access", "hex", "ident", "secret", "endpoint")
 #: Code points within which parts belong together.
 SCOPE = 256
@@ -73,7 +78,8 @@ def _long_hex(text: Column) -> Column:
 
 def weak_spans(text: Column) -> list[Column]:
     """Arrays of spans of the three weak kinds, none of them bounded in length."""
-    every, secret = lambda m: F.lit(True), lambda m: m.rlike(SECRET_RUN) & m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+    every = lambda m: F.lit(True)
+    secret = lambda m: m.rlike("[0-9]") & ((m.rlike(SECRET_RUN) & m.rlike("[A-Za-z]")) | (m.rlike(SECRET_MIXED) & m.rlike("[a-z]") & m.rlike("[A-Z]")))
     return [found_spans(text, p, k, keep) for k, p, keep in ((3, IDENT, every), (4, SECRET, secret), (5, ENDPOINT, every))]
 
 
@@ -102,20 +108,25 @@ def linked_spans(candidates: DataFrame) -> DataFrame:
     return has.where(linked).groupBy("key").agg(F.collect_list("w").alias("linked"))
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """Per distinct (doc_id, text) with candidates or not: doc_id, key, counts and sorted spans.
+def _candidates(docs: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """``columns`` of every row with its number, its strong and its weak spans; one pass over the texts.
 
-    One pass over the texts finds all candidates; only texts with weak ones are joined.
+    Written to shared scratch in two folders, of rows with spans (__met) and of rows without.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"), text).cast("binary"), 256)
     strong, weak = reduce(F.concat, strong_spans(text)), reduce(F.concat, weak_spans(text))
-    rows = materialize(docs.select("doc_id", key.alias("key"), strong.alias("strong"), weak.alias("weak")), "secrets")
+    rows = docs.select(*columns, F.monotonically_increasing_id().alias("__key"), strong.alias("__strong"), weak.alias("__weak"))
     # a weak span that overlaps a strong one adds nothing
-    rows = rows.withColumn("weak", F.filter("weak", lambda w: ~F.exists("strong", lambda s: _overlap(w, s))))
-    linked = linked_spans(rows.where(F.size("weak") > 0).dropDuplicates(["key"]))
-    all_ = rows.join(linked, "key", "left").withColumn("spans", F.array_sort(F.concat("strong", F.coalesce("linked", F.array().cast(f"array<{_SPAN}>"))), _by_start))
-    return all_.select("doc_id", "key", "strong", "spans")
+    rows = rows.withColumn("__weak", F.filter("__weak", lambda w: ~F.exists("__strong", lambda s: _overlap(w, s))))
+    return Scratch(docs.sparkSession, label).put(rows.withColumn("__met", F.size("__strong") + F.size("__weak") > 0), label, ("__met",))
+
+
+def _with_spans(rows: DataFrame) -> DataFrame:
+    """Rows that met something, with __spans: the strong and the linked ones by their starts."""
+    met = rows.where("__met")
+    linked = linked_spans(met.where(F.size("__weak") > 0).select(F.col("__key").alias("key"), F.col("__strong").alias("strong"), F.col("__weak").alias("weak")))
+    joined = met.join(linked.withColumnRenamed("key", "__key"), "__key", "left")
+    return joined.withColumn("__spans", F.array_sort(F.concat("__strong", F.coalesce("linked", F.array().cast(f"array<{_SPAN}>"))), _by_start)).drop("linked")
 
 
 def _by_start(a: Column, b: Column) -> Column:
@@ -130,19 +141,21 @@ def _listed(spans: Column) -> Column:
 
 def report_secrets(docs: DataFrame) -> DataFrame:
     """The contract's columns for every row of ``docs``."""
-    count = lambda k: F.size(F.filter("strong", lambda x: x["k"] == k)).cast("long")
-    base = F.sha2(_listed(F.array_sort("strong", _by_start)).cast("binary"), 256)
-    return scan_secrets(docs).select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), base.alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    rows = _candidates(docs, ["doc_id"], "secrets")
+    none = F.array().cast(f"array<{_SPAN}>").alias("__spans")
+    all_ = _with_spans(rows).select("doc_id", "__strong", "__spans").union(rows.where(~F.col("__met")).select("doc_id", "__strong", none))
+    count = lambda k: F.size(F.filter("__strong", lambda x: x["k"] == k)).cast("long")
+    base = F.sha2(_listed(F.array_sort("__strong", _by_start)).cast("binary"), 256)
+    return all_.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), base.alias("base_sha256"), _listed(F.col("__spans")).alias("spans"))
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by ``[KIND]`` and ``n_chars`` brought up to date.
 
-    Overlapping spans become one mask named by the first. Texts without spans are unchanged.
+    Overlapping spans become one mask named by the first. Texts without spans are unchanged and are
+    never shuffled; those with spans are joined with what was linked in them by their number.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"), text).cast("binary"), 256)
-    hit = scan_secrets(docs).where(F.size("spans") > 0).select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"])
+    rows = _candidates(docs, docs.columns, "masked")
     name = lambda x: F.upper(F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1))
 
     def step(acc, x):
@@ -153,12 +166,10 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"]))
-    joined = docs.withColumn("__key", own).join(hit, "__key", "left")
-    clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", start, step, rest))
-    fixed = joined.withColumn("text", clean)
+    fixed = _with_spans(rows).withColumn("text", F.aggregate("__spans", start, step, rest))
     if "n_chars" in docs.columns:
-        fixed = fixed.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return fixed.select(*docs.columns)
+        fixed = fixed.withColumn("n_chars", F.when(F.size("__spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return fixed.select(*docs.columns).union(rows.where(~F.col("__met")).select(*docs.columns))
 
 
 # The same grammar for DuckDB, whose patterns know neither look-around nor ASCII-only case folding:
@@ -172,9 +183,9 @@ _SQL_PATTERNS = (
     f"({_either('password|passwd|secret|token|api_?key')}){_TAIL}([A-Za-z0-9+/_.=-]+)",
     ACCESS,
     f"{HEX[:-1]}{{{HEX_MIN},}}",
-    f"({_either('access_?key_?id|client_?id|account_?id|user_?name|login|user')}){_TAIL}[A-Za-z0-9_.@-]{{3,64}}",
+    f"({_either('access_?key_?id|client_?id|account_?id|user_?name|login|user')}){_TAIL}[A-Za-z0-9_.@-]{{3,}}",
     "[A-Za-z0-9+/_=-]+",
-    f"({_either('https?')}|{_either('jdbc')}:[A-Za-z]+|{_either('postgres|mysql|mongodb|redis|amqp')})" + r"""://[^\x20\x09-\x0D"'<>]{3,200}""",
+    f"({_either('https?')}|{_either('jdbc')}:[A-Za-z]+|{_either('postgres|mysql|mongodb|redis|amqp')})" + r"""://[^\x20\x09-\x0D"'<>]{3,}""",
 )
 
 
@@ -186,7 +197,7 @@ def _of_kind(values, column: str = "k") -> str:
     return f"CASE {column} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
 
 
-_KEPT = (f"length(regexp_extract(hit, {_quoted(_SQL_PATTERNS[0])}, 2)) >= {ASSIGN_MIN}", f"length(hit) >= {ACCESS_MIN}", "true", "true", "regexp_full_match(hit, '[A-Za-z0-9+/]{20,64}={0,2}') AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')", "true")
+_KEPT = (f"length(regexp_extract(hit, {_quoted(_SQL_PATTERNS[0])}, 2)) >= {ASSIGN_MIN}", f"length(hit) >= {ACCESS_MIN}", "true", "true", f"length(hit) >= 20 AND regexp_matches(hit, '[0-9]') AND ((regexp_matches(hit, {_quoted(SECRET_RUN)}) AND regexp_matches(hit, '[A-Za-z]')) OR (regexp_matches(hit, {_quoted(SECRET_MIXED)}) AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]')))", "true")
 _EACH = " UNION ALL ".join(f"SELECT n, {k} AS k, regexp_extract_all(t, {_quoted(p)}) AS h, string_split_regex(t, {_quoted(p)}) AS g FROM texts" for k, p in enumerate(_SQL_PATTERNS))
 _WORD = f"{_of_kind(map(_quoted, KINDS))} || ':' || s || ':' || e"
 ORACLE = f"""
