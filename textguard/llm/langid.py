@@ -4,102 +4,141 @@ A word seen in training scores by its log frequency in each language; an unseen
 falls back to the longest known character n-grams that cover it, shorter ones only where no
 longer one is known. A text's language is the one with the greatest sum over its words.
 
+Words and n-grams are counted in Spark over the whole texts of a sample that is bounded by its number of
+documents a language; all of them and all languages enter the model.
+
 Defined results: null and letterless texts give ``und`` with score 0; with nothing to
-learn from, every text gives ``und``; ties go to the language first in sorted order; repeated
-rows are scored each; other columns of the input pass through unused.
+learn from (an empty table, no lang), every text gives ``und``; rows with a null lang or id teach nothing
+or as others; ties go to the language first in sorted order; very long texts are scored whole;
+repeated rows are scored each; an empty table gives no rows; other columns of the input pass
+through unused, and columns named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textguard.llm import memory
 from textguard.llm.common import doc_crc, small_batches
 
-#: Bounds of the training sample and of the model: documents and words a language, languages.
-TRAIN_DOCS, TRAIN_WORDS, MAX_LANGS = 1500, 30_000, 200
+#: Bound of the training sample: documents a language.
+TRAIN_DOCS = 1500
 #: Lengths of the n-grams, longest first; weight of a backoff score against a known word's.
 GRAMS, BACKOFF = (5, 4, 3, 2, 1), 0.5
-#: Words whose scores one worker keeps.
-CACHE_WORDS = 400_000
+#: Times a word and an n-gram must be met; a word met once may be a slip of another language and is left to its n-grams.
+WORD_MIN, GRAM_MIN = 2, 3
+#: Added to every count.
+SMOOTH = 0.2
+#: Scores that one worker keeps: words times languages.
+CACHE_SCORES = 1_600_000
 UNKNOWN = "und"
 _LETTERS = r"\p{L}+"
 
 
 @dataclass
 class Model:
+    """Centred log frequencies: a row of scores by language for each word and each n-gram."""
+
     langs: list[str]
-    words: dict = field(default_factory=dict)
-    grams: dict = field(default_factory=dict)
+    words: dict[str, int]
+    word_scores: object
+    grams: dict[str, int]
+    gram_scores: object
 
     def score(self, word: str):
-        """Log-frequency per language of one lower-case word, as a list."""
+        """Log-frequency per language of one lower-case word."""
+        import numpy as np
+
         known = self.words.get(word)
         if known is not None:
-            return known
-        padded, at, total, n = f"<{word}>", 0, [0.0] * len(self.langs), 0
+            return self.word_scores[known]
+        padded, at, rows = f"<{word}>", 0, []
         while at < len(padded):
             for size in GRAMS:
                 found = self.grams.get(padded[at : at + size]) if at + size <= len(padded) else None
                 if found is not None:
-                    total = [a + b for a, b in zip(total, found, strict=True)]
-                    n += 1
+                    rows.append(found)
                     at += max(1, size - 1)
                     break
             else:
                 at += 1
-        return [BACKOFF * x / max(n, 1) for x in total]
+        return self.gram_scores[rows].mean(axis=0) * BACKOFF if rows else np.zeros(len(self.langs), np.float32)
 
 
 def sample_documents(docs: DataFrame, keep: Column, bound: int = TRAIN_DOCS) -> DataFrame:
-    """At least about ``bound`` documents of each language where it has them, chosen by a hash of the id."""
+    """About ``bound`` documents of each language, all where it has fewer, chosen by a hash of the id."""
     usable = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()
+    sizes = usable.groupBy("lang").count().collect()  # a row a language
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1_000_000)).cast("double") / 1_000_000
-    share = F.lit(0.0)
-    for row in sizes:
-        share = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, bound / row["count"]))).otherwise(share)
-    return usable.where(draw < share).select("lang", "text")
+    if not sizes:
+        return usable.select("lang", "text")
+    shares = F.create_map(*[F.lit(x) for row in sizes for x in (row["lang"], min(1.0, bound / row["count"]))])
+    return usable.where(draw < F.try_element_at(shares, "lang")).select("lang", "text")
 
 
 def train(docs: DataFrame, keep: Column) -> Model:
-    """Count words of the sample in Spark; the driver sees at most ``TRAIN_WORDS`` words a language."""
-    words = sample_documents(docs, keep).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0))).alias("word"))
-    counts = words.groupBy("lang", "word").count()
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("count").desc(), "word")))
-    rows = ranked.where(F.col("rank") <= TRAIN_WORDS).select("lang", "word", "count").collect()
-    return fit([(r["lang"], r["word"], r["count"]) for r in rows])
+    """Count words and n-grams of the sample in Spark; the driver gets those that are met often enough."""
+    words = sample_documents(docs, keep).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0))).alias("item"))
+    counts = words.groupBy("lang", "item").agg(F.count(F.lit(1)).alias("n"))
+    padded = F.concat(F.lit("<"), F.col("item"), F.lit(">"))
+    at = lambda size: F.when(F.length(padded) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - size + 1, F.lit(1))), lambda k: F.substring(padded, k, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    grams = counts.select("lang", "n", F.explode(F.concat(*map(at, GRAMS))).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
+
+    def often(rows: DataFrame, least: int):
+        both = rows.groupBy("item").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).where(F.col("all") >= least)
+        return both.select("item", F.explode("by").alias("b")).select("item", "b.lang", "b.n").toArrow()
+
+    return _model(often(counts, WORD_MIN), often(grams, GRAM_MIN))
+
+
+def _model(words, grams) -> Model:
+    """From Arrow tables (item, lang, n)."""
+    langs = sorted({*words["lang"].unique().to_pylist(), *grams["lang"].unique().to_pylist()})
+    return Model(langs, *_scores(words, langs), *_scores(grams, langs))
+
+
+def _scores(table, langs: list[str]):
+    """Rows by item, and the smoothed log frequencies by language, centred over the languages."""
+    import numpy as np
+    import pyarrow as pa
+
+    if not len(table):
+        return {}, np.zeros((0, len(langs)), np.float32)
+    items, place = table["item"].combine_chunks().dictionary_encode(), {lang: k for k, lang in enumerate(langs)}
+    column = table["lang"].combine_chunks().dictionary_encode()
+    at = np.array([place[x] for x in column.dictionary.to_pylist()])[column.indices.to_numpy()]
+    counts = np.zeros((len(items.dictionary), len(langs)))
+    np.add.at(counts, (items.indices.to_numpy(), at), table["n"].cast(pa.float64()).to_numpy())
+    logs = np.log((counts + SMOOTH) / (np.maximum(1, counts.sum(axis=0)) + SMOOTH * len(counts)))
+    return {x: k for k, x in enumerate(items.dictionary.to_pylist())}, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
 def fit(counts: list[tuple[str, str, int]]) -> Model:
-    """Smoothed log frequencies of words and of their n-grams, centred over the languages."""
-    langs = sorted({lang for lang, _, _ in counts})
-    at, words, grams = {lang: k for k, lang in enumerate(langs)}, {}, {}
+    """The model of given (lang, word, count), without Spark."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    words, grams = Counter(), Counter()
     for lang, word, n in counts:
-        words.setdefault(word, [0] * len(langs))[at[lang]] += n
+        words[word, lang] += n
         padded = f"<{word}>"
         for size in GRAMS:
             for k in range(len(padded) - size + 1):
-                grams.setdefault(padded[k : k + size], [0] * len(langs))[at[lang]] += n
-    # a word met once may be a slip of another language: it is left to its n-grams
-    return Model(langs, _logs({w: c for w, c in words.items() if sum(c) > 1}), _logs({g: c for g, c in grams.items() if sum(c) > 2}))
+                grams[padded[k : k + size], lang] += n
 
+    def often(found: Counter, least: int):
+        total = Counter()
+        for (item, _), n in found.items():
+            total[item] += n
+        rows = [(item, lang, n) for (item, lang), n in found.items() if total[item] >= least]
+        return pa.table({"item": pa.array([r[0] for r in rows], pa.string()), "lang": pa.array([r[1] for r in rows], pa.string()), "n": pa.array([r[2] for r in rows], pa.int64())})
 
-def _logs(counts: dict) -> dict:
-    if not counts:
-        return {}
-    totals = [max(1, sum(c)) for c in zip(*counts.values(), strict=True)]
-    out = {}
-    for key, c in counts.items():
-        logs = [math.log((n + 0.2) / (t + 0.2 * len(counts))) for n, t in zip(c, totals, strict=True)]
-        mean = sum(logs) / len(logs)
-        out[key] = [x - mean for x in logs]
-    return out
+    return _model(often(words, WORD_MIN), often(grams, GRAM_MIN))
 
 
 class _Rows(dict):
@@ -109,7 +148,8 @@ class _Rows(dict):
         import numpy as np
 
         super().__init__()
-        self.model, self.table, self.used = model, np.zeros((CACHE_WORDS + 1, len(model.langs)), np.float32), 1
+        self.most = max(1000, CACHE_SCORES // len(model.langs))
+        self.model, self.table, self.used = model, np.zeros((self.most + 1, len(model.langs)), np.float32), 1
 
     def __missing__(self, word: str) -> int:
         row = 0
@@ -121,10 +161,10 @@ class _Rows(dict):
         return row
 
     def rows(self, words: list[str]) -> list[int]:
-        if self.used + len(words) > CACHE_WORDS:
+        if self.used + len(words) > self.most:
             self.clear()
             self.used = 1
-            if len(words) >= CACHE_WORDS:
+            if len(words) >= self.most:
                 self.table.resize((len(words) + 2, self.table.shape[1]), refcheck=False)
         return [self[w] for w in words]
 
