@@ -41,7 +41,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_pages(table(spark, sf_dir, "pages"))
+    return urls.judge_pages(table(spark, sf_dir, "pages")).drop("score")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,4 +49,4 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_spotsigs, op4_hash_tree, op5_language_id, op6_orc_tokens, op7_hilbert_packing, op8_decontamination, op9_url_filter, op10_minhash)}
-ORACLES = {"op2_secrets": secrets.ORACLE, "op4_hash_tree": sharding.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op10_minhash": minhash.ORACLE}
+ORACLES = {"op2_secrets": secrets.ORACLE, "op4_hash_tree": sharding.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op9_url_filter": urls.oracle(), "op10_minhash": minhash.ORACLE}
