@@ -1,32 +1,49 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows against documents.
 
-An item is cut into windows of consecutive words. The words of a window are its set; ordered
-by their rarity in all documents, the rarest is its prefix, which any document that holds the
-window must hold too. Documents join windows on prefix words; position and length bounds
-say where the window would begin, and the words there are compared exactly.
-
-Defined results: a null text has no words, no hits; items without words have no window;
-null items are skipped; rows with one item_id count as one item; repeated documents are
-judged each; other columns are ignored (or passed on by ``drop_contaminated``).
+An item is cut into windows of consecutive words, and a window into shingles. Shingles are ordered by
+their rarity: the number of documents that hold them. A document that holds a window holds all its shingles, so the
+necessary prefix is one: the rarest. Document shingles join windows on it; its place in the window
+and the lengths of both say where the window would begin, and the words there are compared exactly.
+
+Only shingles that a Bloom filter of all windows' shingles lets through leave the scan, each with the words
+around it, so the texts are read once, whatever the size of the benchmark. The filter's size is bounded; a
+benchmark too large for it makes the join longer, never wrong. Windows, shingles and their counts stay in tables.
+
+Defined results: a null text has no words, no hits; very long texts are searched whole; items without words have no
+window; null items and items without an id are skipped; rows with one item_id count as one item; rows get a
+number of their own, so repeated documents, or several with one id or none, are judged each; an empty table
+gives no rows, an empty benchmark no hits; other columns are ignored (or passed on by ``drop_contaminated``).
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textguard.llm import memory
-from textguard.llm.common import materialize, small_batches
-
-#: Words in a window.
-WINDOW = 10
-#: Bound on what is sent to every task at a time: words of items in one block.
-BLOCK_WORDS = 1_000_000
+from textguard.llm.common import Scratch, small_batches
+
+#: Words in a window, and in a shingle.
+WINDOW, SHINGLE = 10, 5
+#: Bits of the filter: so many a shingle, up to a bound of 32 MB.
+BITS_EACH, BITS_LEAST, BITS_MOST = 16, 1 << 16, 1 << 28
+#: Words whose hash one worker keeps.
+CACHE_WORDS = 400_000
 _WORD_BYTES = bytes((b | 32) if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-_HITS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_WINDOWS = "item string, run string, words int, shingles array<long>"
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(self) < CACHE_WORDS:
+            self[word] = found
+        return found
+
+
+_HASHES = memory.keep("decontaminate", _Hashes())
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -41,46 +58,23 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]
     return [tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))]
 
 
-class Index:
-    """Windows of a block of items, by prefix word, for look-ups in documents."""
-
-    def __init__(self, items: list[tuple[str, bytes]], rarity: dict[bytes, int], size: int = WINDOW):
-        self.items: dict[tuple, set[str]] = defaultdict(set)
-        for item, raw in items:
-            for w in windows_of(words_of(raw), size):
-                self.items[w].add(item)
-        # where a prefix word stands in its windows, and how long those are
-        self.places: dict[bytes, set[tuple[int, int]]] = defaultdict(set)
-        for w in self.items:
-            at = min(range(len(w)), key=lambda k: (rarity.get(w[k], 0), w[k], k))
-            self.places[w[at]].add((at, len(w)))
-        self.prefix = frozenset(self.places)
-
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Word ranges that windows occupy, and the items they come from."""
-        if self.prefix.isdisjoint(words):
-            return [], set()
-        ranges, found, n, places, windows = [], set(), len(words), self.places, self.items
-        for p, word in enumerate(words):
-            if word in places:
-                for at, length in places[word]:
-                    start = p - at
-                    if start >= 0 and start + length <= n:
-                        items = windows.get(tuple(words[start : start + length]))
-                        if items:
-                            ranges.append((start, start + length))
-                            found |= items
-        return ranges, found
-
-
-def covered(ranges: list[tuple[int, int]]) -> int:
-    """Number of positions in a union of ranges."""
-    total, reach = 0, 0
-    for a, b in sorted(ranges):
-        if b > reach:
-            total += b - max(a, reach)
-            reach = b
-    return total
+def shingle_hashes(codes, size: int):
+    """Hashes of all runs of ``size`` words, given the words' hashes."""
+    import numpy as np
+
+    n = max(0, len(codes) - size + 1)
+    mixed = np.full(n, size, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def _codes(words: list[bytes]):
+    import numpy as np
+
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def _raw(batch):
@@ -90,111 +84,143 @@ def _raw(batch):
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
-def _rarity(shipped):
+def _windows(size: int):
     def run(batches):
         import pyarrow as pa
 
         memory.claim("decontaminate")
-        vocabulary, counts = shipped.value, defaultdict(int)
         for batch in batches:
-            for raw in _raw(batch):
-                if raw:
-                    for w in vocabulary.intersection(words_of(raw)):
-                        counts[w] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            items, runs, lengths, shingles = [], [], [], []
+            for item, raw in zip(batch.column("item").to_pylist(), _raw(batch), strict=True):
+                for window in windows_of(words_of(raw), size):
+                    items.append(item)
+                    runs.append(b" ".join(window).decode())
+                    lengths.append(len(window))
+                    shingles.append(shingle_hashes(_codes(list(window)), min(SHINGLE, len(window))).view("int64"))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(runs, pa.string()), pa.array(lengths, pa.int32()), pa.array(shingles, pa.list_(pa.int64()))], names=["item", "run", "words", "shingles"])
 
     return run
 
 
-def corpus_rarity(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
-    """Documents that hold each word of a block's vocabulary, over all documents."""
-    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    counts = docs.select("text").mapInArrow(_rarity(shipped), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in counts.collect()}
+class Filter:
+    """Bloom filter of 64-bit hashes with two bits each; ``may`` tests a whole array."""
+
+    def __init__(self, bits: int, words, masks):
+        import numpy as np
+
+        self.bits, self.table = bits, np.zeros(bits // 64, np.uint64)
+        self.table[words] = masks
+
+    def may(self, hashes):
+        import numpy as np
 
+        out = np.ones(len(hashes), bool)
+        for at in (hashes, hashes >> np.uint64(32)):
+            place = at & np.uint64(self.bits - 1)
+            out &= (self.table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return out
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
-    """Items in blocks of a bounded number of words, one block at a time on the driver."""
-    texts = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("raw"))
-    block, words = [], 0
-    for row in texts.where(F.col("item").isNotNull()).toLocalIterator():
-        n = len(words_of(bytes(row["raw"])))
-        if block and words + n > block_words:
-            yield block
-            block, words = [], 0
-        block.append((row["item"], bytes(row["raw"])))
-        words += n
-    yield block
 
+def _filter(hashes: DataFrame, bits: int | None) -> Filter:
+    """The filter of a column ``h``; its bits are set in Spark, and as many words as it has come to the driver at most."""
+    import numpy as np
 
-def _scan(shipped, drop: tuple[str, ...] | None):
-    """Adds to the columns so far the ranges and items of one block; the last block also sums them up."""
+    if bits is None:
+        bits = min(BITS_MOST, max(BITS_LEAST, 1 << (BITS_EACH * max(1, hashes.count()) - 1).bit_length()))
+    place = F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 32))).alias("p")
+    at = hashes.select(place).select(F.col("p").bitwiseAND(F.lit(bits - 1)).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("mask")).toArrow()
+    return Filter(bits, words["word"].to_numpy(), words["mask"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _scan(shipped, sizes: list[int], size: int):
+    """Adds to each row the number of words and the shingles that pass: place, hash, and the words around."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         memory.claim("decontaminate")
-        index = shipped.value
+        passed = shipped.value
         for batch in batches:
-            ranges, items = batch.column("__ranges").to_pylist(), batch.column("__items").to_pylist()
-            counts = []
-            for k, raw in enumerate(_raw(batch)):
+            counts, places, hashes, around = [], [], [], []
+            for raw in _raw(batch):
                 words = words_of(raw) if raw else []
+                codes, at, found, near = _codes(words), [], [], []
+                for m in sizes:
+                    own = shingle_hashes(codes, m)
+                    for p in np.flatnonzero(passed.may(own)).tolist():
+                        at.append(p)
+                        found.append(int(own[p].view(np.int64)))
+                        near.append(b" ".join(words[max(0, p - size + m) : p + size]).decode())
                 counts.append(len(words))
-                if words:
-                    spans, found = index.find(words)
-                    if spans:
-                        ranges[k] = (ranges[k] or []) + [x for r in spans for x in r]
-                        items[k] = sorted({*(items[k] or []), *found})
-            names = batch.schema.names
-            new = {"__words": pa.array(counts, pa.int64()), "__ranges": pa.array(ranges, pa.list_(pa.int32())), "__items": pa.array(items, pa.list_(pa.string()))}
-            if drop is not None:
-                names = [n for n in names if n not in drop]
-                hit = [covered(list(zip(r[::2], r[1::2], strict=True))) if r else 0 for r in ranges]
-                digest = [hashlib.sha256(",".join(x or []).encode()).hexdigest() for x in items]
-                n_items = [len(x or []) for x in items]
-                new = {"n_words": new["__words"], "n_hit": pa.array(hit, pa.int64()), "n_items": pa.array(n_items, pa.int64()), "items_sha256": pa.array(digest, pa.string()), "contaminated": pa.array([h > 0 for h in hit], pa.bool_())}
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new.values()], names=[*names, *new])
-            else:
-                yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names=names)
+                places.append(at)
+                hashes.append(found)
+                around.append(near)
+            new = [pa.array(counts, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(around, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "__words", "__at", "__hash", "__near"])
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS, with_text: bool = False) -> DataFrame:
-    """Word counts, hits and items of every row of ``docs`` (doc_id, text and what else it has).
-
-    Items are joined block by block; a single block (the usual case) takes one pass for
-    the rarity of its words and one for the join. With more blocks the rows are written
-    to shared scratch between them.
-    """
+def _judged(docs: DataFrame, columns: list[str], benchmark: DataFrame, size: int, bits: int | None) -> DataFrame:
+    """``columns`` of every row with n_words, n_hit, n_items, items_sha256 and contaminated as __-columns."""
     spark = docs.sparkSession
     small_batches(spark)
-    clash = [c for c in docs.columns if c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "__words", "__ranges", "__items")]
-    plain = docs.drop(*clash)
-    rows = plain.withColumns({"__words": F.lit(0).cast("long"), "__ranges": F.lit(None).cast("array<int>"), "__items": F.lit(None).cast("array<string>")})
-    drop = ("__words", "__ranges", "__items") + (() if with_text else ("text",))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields if f.name not in drop)
-    blocks = item_blocks(benchmark, block_words)
-    block = next(blocks)
-    while block is not None:
-        following = next(blocks, None)
-        rarity = corpus_rarity(plain, frozenset(w for _, raw in block for w in words_of(raw)))
-        shipped = spark.sparkContext.broadcast(Index(block, rarity, size))
-        if following is None:
-            return rows.mapInArrow(_scan(shipped, drop), f"{kept}, {_HITS}")
-        rows = materialize(rows.mapInArrow(_scan(shipped, None), rows.schema), "decontaminate")
-        block = following
+    kept = Scratch(spark, "decontaminate")
+    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+    windows = kept.put(items.mapInArrow(_windows(size), _WINDOWS).distinct(), "windows")
+    runs = windows.select("run", "words", "shingles").distinct()
+    each = runs.select("run", "words", F.size("shingles").alias("n"), F.posexplode("shingles").alias("off", "h"))
+    sizes = [r[0] for r in runs.select(F.least(F.lit(SHINGLE), "words").alias("m")).distinct().collect()]  # five at most
+    shipped = spark.sparkContext.broadcast(_filter(each.select("h").distinct(), bits))
+    source = docs.select(*columns, *([] if "text" in columns else ["text"]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    scanned = source.mapInArrow(_scan(shipped, sizes, size), f"{fields}, __words long, __at array<int>, __hash array<long>, __near array<string>")
+    scanned = scanned.select(*columns, F.monotonically_increasing_id().alias("__key"), "__words", F.arrays_zip("__at", "__hash", "__near").alias("__found"))
+    rows = kept.put(scanned.withColumn("__met", F.size("__found") > 0), "rows", ("__met",))
+    found = rows.where("__met").select("__key", "__words", F.explode("__found").alias("x")).select("__key", "__words", F.col("x.__at").alias("at"), F.col("x.__hash").alias("h"), F.col("x.__near").alias("near"))
+    rarity = found.select("__key", "h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
+    # a window with a shingle that no document holds occurs nowhere; of the others the rarest shingle is the prefix
+    known = each.join(rarity, "h").groupBy("run", "words", "n").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("docs", "h", "off")).alias("p")).where(F.col("known") == F.col("n"))
+    prefix = known.select("run", F.col("words").alias("size"), F.col("p.h").alias("h"), F.col("p.off").alias("off"))
+    begin = F.col("at") - F.col("off")
+    fits = (begin >= 0) & (begin + F.col("size") <= F.col("__words"))
+    # of the words around, the window's are those before the shingle by its place, and as many as the window has
+    left = F.least(F.col("at"), F.lit(size) - F.least(F.lit(SHINGLE), "size"))
+    there = F.array_join(F.slice(F.split("near", " "), left - F.col("off") + 1, F.col("size")), " ")
+    hits = kept.put(found.join(prefix, "h").where(fits).where(there == F.col("run")).select("__key", begin.alias("begin"), "size", "run").distinct(), "hits")
+    reach = F.aggregate(
+        F.array_sort(F.collect_set(F.struct("begin", F.col("size").alias("n")))),
+        F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("sum")),
+        lambda acc, x: F.struct(F.greatest(acc["end"], x["begin"] + x["n"]).alias("end"), (acc["sum"] + F.greatest(F.lit(0), x["begin"] + x["n"] - F.greatest(acc["end"], x["begin"]))).alias("sum")),
+        lambda acc: acc["sum"],
+    )
+    covered = hits.groupBy("__key").agg(reach.alias("__hit"))
+    named = hits.select("__key", "run").distinct().join(windows.select("run", "item").distinct(), "run").groupBy("__key").agg(F.array_sort(F.collect_set("item")).alias("__items"))
+    sums = covered.join(named, "__key")
+    met = rows.where("__met").join(sums, "__key", "left")
+    none = rows.where(~F.col("__met")).withColumns({"__hit": F.lit(None).cast("long"), "__items": F.lit(None).cast("array<string>")})
+    every = met.select(*columns, "__words", "__hit", "__items").union(none.select(*columns, "__words", "__hit", "__items"))
+    listed = F.coalesce("__items", F.array().cast("array<string>"))
+    hit = F.coalesce("__hit", F.lit(0).cast("long"))
+    return every.withColumns({"__hit": hit, "__n": F.size(listed).cast("long"), "__sha": F.sha2(F.array_join(listed, ",").cast("binary"), 256)})
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bits: int | None = None) -> DataFrame:
+    """Word counts, hits and items of every row of ``docs``; ``bits`` fixes the filter's size (a power of two from 64 on)."""
+    found = _judged(docs, ["doc_id"], benchmark, size, bits)
+    return found.select("doc_id", F.col("__words").alias("n_words"), F.col("__hit").alias("n_hit"), F.col("__n").alias("n_items"), F.col("__sha").alias("items_sha256"), (F.col("__hit") > 0).alias("contaminated"))
 
 
 def report_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns."""
-    return find_contamination(docs.select("doc_id", "text"), benchmark)
+    return find_contamination(docs, benchmark)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a window of an item; the rest unchanged."""
-    return find_contamination(docs, benchmark, with_text=True).where(~F.col("contaminated")).select(*docs.columns)
+    return _judged(docs, docs.columns, benchmark, size, None).where(F.col("__hit") == 0).select(*docs.columns)
 
 
 # Words as the contract defines them; windows by joining runs of words on their text.
