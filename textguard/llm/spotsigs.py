@@ -11,15 +11,17 @@ an anchor more or less changes the chains around it only.
 
 Defined results: null is empty; a text without anchored chains but with words has
 chains that start at every word; a text without words has the empty fingerprint; two
-empty fingerprints are alike (1.0), an empty and a full one are not (0.0); repeated
-rows are compared like others; in ties of ``doc_id`` the order is that of the texts.
+empty fingerprints are alike (1.0), an empty and a full one are not (0.0); very long texts are
+taken whole; repeated rows are compared like others, in one task if id and text are the same; in ties of
+``doc_id`` the order is that of a hash of the texts; a null id comes last; an empty table gives no
+rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,30 +103,36 @@ def written(found) -> str:
 # ---------------------------------------------------------------- every document against its next
 
 
-@dataclass
-class _Deal:
-    """Ranges of ids, and the greatest id of each: the next one of the range above ends there."""
+#: Rows of a sample from which a border between ranges is drawn.
+SAMPLE = 64
 
-    bounds: list[int]
-    top: dict[int, int]
-    first: int
-    last: int
 
+def _place(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the place in the order: k descends with the id, h parts the rows of one id by their texts."""
+    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
 
-def _deal(docs: DataFrame, ways: int) -> _Deal:
-    """Range borders from all ids; as many as tasks, so they may come to the driver."""
-    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k"))
-    low, high = ids.agg(F.min("k"), F.max("k")).first()
-    if low is None:
-        return _Deal([], {}, 0, 0)
-    bounds = sorted({int(x) for x in ids.approxQuantile("k", [i / ways for i in range(1, ways)], 0.2 / ways)})
-    rows = ids.withColumn("range", _range(bounds)).groupBy("range").agg(F.max("k").alias("top")).collect()
-    return _Deal(bounds, {r["range"]: r["top"] for r in rows}, high, low)
 
+def _bounds(rows: DataFrame, ways: int) -> list[tuple[int, int]]:
+    """Borders (k, h) between ranges, from a sample whose size goes by the number of ranges only."""
+    share = min(1.0, SAMPLE * ways / max(1, rows.count()))
+    drawn = rows.where(F.pmod(F.xxhash64("h", "k"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("k", "h").dropDuplicates()
+    found = sorted(map(tuple, drawn.collect()))
+    return [found[len(found) * i // ways] for i in range(1, ways)] if len(found) >= ways else found
 
-def _range(bounds: list[int]):
-    """Number of the range of column k: how many borders lie at or below it."""
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("k"))) if bounds else F.lit(0)
+
+def _range_of(bounds: list[tuple[int, int]]):
+    """Number of the range of (k, h): how many borders lie at or below it, by binary search over a batch."""
+
+    @F.pandas_udf("int")
+    def number(k: pd.Series, h: pd.Series) -> pd.Series:
+        import numpy as np
+
+        kind = np.dtype([("k", "<i8"), ("h", "<i8")])
+        place = np.empty(len(k), kind)
+        place["k"], place["h"] = k, h
+        return pd.Series(np.searchsorted(np.array(sorted(set(bounds)), kind), place, side="right").astype("int32"))
+
+    return number(F.col("k"), F.col("h"))
 
 
 def _compare(batches):
@@ -161,26 +169,21 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses.
 
     The next document is the one with the next smaller id (after the least: the greatest).
-    Texts move once: they are dealt by ranges of ids, and the greatest of a range is also
-    sent to the range above as the guest that ends it.
+    Texts move once: they are dealt by ranges of ids (and, within an id, of a hash of the text), and
+    the greatest of a range is also sent to the range above as the guest that ends it.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    ways = 3 * partitions(spark)
-    deal = _deal(docs, ways)
-    filled = sorted(deal.top)
-    # the range whose last document has a top of another range as its next
-    above = {low: high for low, high in zip(filled, filled[1:], strict=False)} | ({filled[-1]: filled[0]} if filled else {})
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k")).withColumn("bucket", _range(deal.bounds).cast("int"))
-    pairs = [F.struct(F.lit(high).alias("bucket"), F.lit(deal.top[low]).cast("long").alias("top"), F.lit(low).alias("own")) for low, high in above.items()]
-    none = F.array().cast("array<struct<bucket:int,top:bigint,own:int>>")
-    guests = F.filter(F.array(*pairs), lambda p: (p["own"] == F.col("bucket")) & (p["top"] == F.col("k"))) if pairs else none
-    own = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest"))
-    sent = F.concat(F.array(own), F.transform(guests, lambda p: F.struct(p["bucket"].alias("b"), F.lit(True).alias("guest"))))
-    dealt = rows.select(F.explode(sent).alias("to"), "doc_id", "text", "k").select("to.b", "to.guest", "doc_id", "text", "k")
-    # ties at a border: of several guests the first ends the range, the others find nothing held
-    order = ("b", "guest", F.col("k").desc(), "text")
-    return dealt.repartition(ways, "b").sortWithinPartitions(*order).select("b", "guest", "doc_id", "text").mapInArrow(_compare, _OUT)
+    small_batches(docs.sparkSession)
+    rows, ways = _place(docs), 3 * partitions(docs)
+    rows = rows.withColumn("b", _range_of(_bounds(rows.select("k", "h"), ways)))
+    # the greatest place of each range, as many rows as ranges: it follows the last document of the range above
+    top = {r["b"]: (r["t"]["k"], r["t"]["h"]) for r in rows.groupBy("b").agg(F.max(F.struct("k", "h")).alias("t")).collect()}
+    filled = sorted(top)
+    ends = [(high, *top[low]) for low, high in zip(filled, filled[1:], strict=False)] + [(filled[0], *top[filled[-1]]) for _ in filled[:1]]
+    tops = F.broadcast(docs.sparkSession.createDataFrame(ends, "to int, k long, h long"))
+    guests = _place(docs).join(tops, ["k", "h"]).dropDuplicates(["to", "k", "h"])
+    sent = rows.select("b", F.lit(False).alias("guest"), "doc_id", "text", "k", "h").union(guests.select("to", F.lit(True), "doc_id", "text", "k", "h"))
+    order = ("b", "guest", F.col("k").desc(), F.col("h").desc())
+    return sent.repartition(ways, "b").sortWithinPartitions(*order).select("b", "guest", "doc_id", "text").mapInArrow(_compare, _OUT)
 
 
 # ---------------------------------------------------------------- near duplicates
