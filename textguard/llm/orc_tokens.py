@@ -5,8 +5,9 @@ and across files, so stripe and row-group statistics prune by id, and a Bloom fi
 settles point look-ups. Every stripe can be read by its own task.
 
 Defined results: null and empty texts hold the end id alone; rows with one id keep all
-their copies, next to each other, ordered by text; a null id sorts first; an empty table gives
-an empty file set and no rows; other columns of the input are ignored.
+their copies, next to each other, in the order of a hash of the text, and may lie in several
+files; a null id sorts first; very long texts are encoded whole; an empty table gives an empty file
+set and no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +51,10 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
     """Encode whole texts, append ``end_id``, write ORC files in ascending ``doc_id`` order."""
     spark = docs.sparkSession
     small_batches(spark)
-    dealt = docs.select("doc_id", "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # ties are dealt on by the text's hash and then by the row's place, so that no id holds a file to itself
+    ties = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"))
+    order = (F.col("doc_id").asc_nulls_first(), "tie", "place")
+    dealt = ties.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
     encoded = dealt.mapInArrow(_encode(tokenizer or bpe.default_path(), end_id), ORC_SCHEMA)
     (
         encoded.write.option("compression", "lz4")

@@ -2,13 +2,14 @@
 
 A document's token ids are hashed into a signed feature vector, projected to a few
 dimensions and turned into a Hilbert key. Documents are dealt to tasks by ranges of the
-key (ties broken by a hash of the id, so that a large group of copies spreads over
-tasks), and each task lays its documents end to end and cuts the run into sequences.
+key (ties broken by a hash of the id and then by the row's place, so that a large group of
+copies or of rows with one id spreads over tasks), and each task lays its documents end to end and cuts the run into sequences.
 What is left at the end of a task is cut into runs whose lengths are powers of two, which
 need no padding.
 
 Defined results: null and empty texts consist of the end id; repeated rows are packed
-each; an empty table gives no rows; other columns of the input are ignored.
+each; a null id is a key like others; a very long text fills as many sequences as it needs; an
+empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -186,7 +187,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     """
     spark = docs.sparkSession
     small_batches(spark)
-    tokens = materialize(docs.select("doc_id", "text").mapInArrow(_tokens(tokenizer or bpe.default_path(), end_id), _TOKENS), "tokens")
-    order = ("curve", "tie", "doc_id")
-    dealt = tokens.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    tokens = docs.select("doc_id", "text").mapInArrow(_tokens(tokenizer or bpe.default_path(), end_id), _TOKENS)
+    tokens = materialize(tokens.withColumn("place", F.monotonically_increasing_id()), "tokens")
+    order = ("curve", "tie", "doc_id", "place")
+    dealt = tokens.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
     return dealt.select("doc_id", "ids", "n_tokens").mapInArrow(_pack(limit), PIECES)
