@@ -15,9 +15,10 @@ Links are found without meeting all pairs of a group:
 5. while a table holds several components, a new hub is drawn in it, and each class
    of another component meets the new hub it shares the most tables with: one pair a class
    and round, as long as rounds find links;
-6. across components that still share a table, all pairs that may link are verified. Two classes
-   of one hub meet only if they share one of their rarest shingles outside the hub's set, as
-   many as a link would need, or if their parts inside and outside of it allow a link.
+6. across components that still share a table, all pairs that may link are verified. Of two classes
+   of one hub, each differs from the hub's set in some shingles, its delta. A link bounds how far
+   two sets are apart, and so how much their deltas must share: they meet only on one of the rarest
+   shingles of their deltas (a prefix filter), or if both deltas are so small that they need share none.
 
 With ``exact`` the keys are no hashes of minhashes but the rarest shingles of each class, as many
 as two sets at the threshold must share one of: no link is missed, at the price of more candidates.
@@ -206,14 +207,21 @@ def _may_link(percent: int):
     return F.lit(100) * both >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - both)
 
 
-def _may_link_apart(percent: int):
-    """Bound for two classes of one hub that share nothing outside the hub's set.
+def _near_hub(percent: int):
+    """Bound for two classes of one hub whose deltas share nothing: the deltas together are then what they differ in."""
+    return (F.col("delta_a") + F.col("delta_b")) * F.lit(100 + percent) <= (F.col("n_a") + F.col("n_b")) * F.lit(100 - percent)
 
-    With c in common with the hub and the rest e outside of it, they have at most the smaller c
-    in common, and their union holds the larger c and both rests.
-    """
-    rests = F.col("n_a") - F.col("c_a") + F.col("n_b") - F.col("c_b")
-    return F.lit(100) * F.least("c_a", "c_b") >= F.lit(percent) * (F.greatest("c_a", "c_b") + rests)
+
+def _early(percent: int):
+    """Both ranks of a shared shingle lie within the prefixes that this very pair needs."""
+    need = (F.col("delta_a") + F.col("delta_b")) * F.lit(100 + percent) - (F.col("n_a") + F.col("n_b")) * F.lit(100 - percent)
+    after = lambda x: (F.col(f"delta_{x}") - F.col(f"rank_{x}") + 1) * F.lit(2 * (100 + percent))
+    return (after("a") >= need) & (after("b") >= need)
+
+
+def _most_apart(percent: int):
+    """In how many shingles a class of n may differ from any that it links with: their sizes are within percent."""
+    return F.floor(F.col("n") * F.lit(100 - percent) / F.lit(percent) + 1e-9)
 
 
 def _mixed(rows: DataFrame, on: list[str]) -> DataFrame:
@@ -234,37 +242,40 @@ def _round(open_: DataFrame, number: int) -> DataFrame:
     return best.select(F.col("id").alias("a"), F.col("hub").alias("b"))
 
 
-def _pairs(rows: DataFrame, on: list[str], bound) -> DataFrame:
+_SIDE = ("id", "n", "u", "root", "hub", "main", "delta")
+
+
+def _pairs(rows: DataFrame, on: list[str], bound, more: tuple[str, ...] = ()) -> DataFrame:
     """Distinct pairs (a, b) of different components that meet on ``on`` and that the bound allows.
 
     Members of a group's main component are met by those outside of it, never by each other: a
     group of near copies that are one component costs its size times the number of the rest.
     """
-    side = lambda r, x: r.select(*on, *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "u", "root", "c", "hub", "main")])
+    side = lambda r, x: r.select(*on, *[F.col(c).alias(f"{c}_{x}") for c in (*_SIDE, *more)])
     once = (F.col("root_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b"))
     met = side(rows.where(F.col("root") != F.col("main")), "a").join(side(rows, "b"), on).where((F.col("root_a") != F.col("root_b")) & once & bound)
     return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def _apart(members: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
-    """A row for each rare shingle of a member outside its hub's set that others of the hub have too.
+def _deltas(members: DataFrame, sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
+    """A row for each of the rarest shingles of a member's delta that others of its hub have in theirs.
 
-    A link needs percent of a member's shingles in common and finds c of them in the hub's set at
-    most; the rest must be common outside of it, so two that link share one of their rarest.
+    Two sets that link differ in D shingles at most, so deltas of sizes x and y share k = (x + y - D) / 2
+    at least, and one shingle is among the x - k + 1 rarest of the one and the y - k + 1 rarest of the other:
+    never more than D + 1, as sizes differ by D at most. ``_early`` asks that of a pair's ranks.
     """
     own = sets.select("id", F.col("sh").alias("sh_own"))
     spread, ways = _dealt(members, "id", "hub")
     hub = sets.select(F.col("id").alias("hub"), F.col("sh").alias("sh_hub")).join(ways, "hub")
-    each = spread.join(own, "id").join(hub, ["hub", "way"]).withColumn("s", F.explode(F.array_except("sh_own", "sh_hub"))).drop("sh_own", "sh_hub", "way")
-    each = work.put(each, "apart")
+    delta = F.concat(F.array_except("sh_own", "sh_hub"), F.array_except("sh_hub", "sh_own"))
+    each = spread.join(own, "id").join(hub, ["hub", "way"]).withColumn("s", F.explode(delta)).drop("sh_own", "sh_hub", "way")
+    each = work.put(each, "deltas")
     rarity = each.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > 1)
-    shared = each.join(rarity, ["hub", "s"])
-    # shingles that no other member has are the rarest of all, so they count among the first
-    alone = F.col("n") - F.col("c") - F.count(F.lit(1)).over(Window.partitionBy("id"))
+    # shingles that no other delta has are the rarest of all, so they count among the first
+    alone = F.col("delta") - F.count(F.lit(1)).over(Window.partitionBy("id"))
     rank = alone + F.row_number().over(Window.partitionBy("id").orderBy("f", "s"))
-    need = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n") / 100 - 1e-9) - F.col("c"))
-    rare = shared.withColumns({"rank": rank, "need": need}).where(F.col("rank") <= F.col("n") - F.col("c") - F.col("need") + 1)
-    return _mixed(rare.drop("rank", "need", "f"), ["hub", "s"])
+    ranked = each.join(rarity, ["hub", "s"]).withColumn("rank", rank).where(F.col("rank") <= _most_apart(percent) + 1)
+    return _mixed(ranked.drop("f"), ["hub", "s"])
 
 
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
@@ -324,29 +335,34 @@ def _roots(tables: DataFrame, bound: DataFrame, sets: DataFrame, percent: int, w
     stars = live.join(hubs, "key").groupBy("id").agg(F.max_by("hub", "best").alias("hub"))
     stars = work.put(_common(stars.select(F.col("id").alias("a"), F.col("hub").alias("b")), sets), "stars")
     links = stars.where(F.col("a") != F.col("b")).where(_linked(percent)).select("a", "b")
-    hubs = stars.select(F.col("a").alias("id"), F.col("b").alias("hub"), "c")
-    number = 0
+    delta = F.col("n_a") + F.col("n_b") - 2 * F.col("c")
+    hubs = work.put(bound.join(stars.select(F.col("a").alias("id"), F.col("b").alias("hub"), delta.alias("delta")), "id"), "hubs")
+
+    def mixed(roots: DataFrame) -> DataFrame:
+        known = hubs.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        return work.put(_mixed(tables.join(known, "id"), ["key"]), "open")
+
+    number, roots = 0, connected(links, work)
+    open_ = mixed(roots)
     while True:
-        roots = connected(links, work)
-        known = bound.join(hubs, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = work.put(_mixed(tables.join(known, "id"), ["key"]), "open")
         # 5. a round of new hubs
         number += 1
         tried = work.put(_common(_round(open_, number), sets).select("a", "b", _linked(percent).alias("linked")), "tried")
         made, hit = tried.agg(F.count(F.lit(1)), F.count_if("linked")).first()
         if hit:
             links = work.put(links.union(tried.where("linked").select("a", "b")), "links")
+            roots = connected(links, work)
+            open_ = mixed(roots)
         if not hit or hit * ROUND_YIELD < made:
             break
-    if hit:
-        roots = connected(links, work)
-        known = bound.join(hubs, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = work.put(_mixed(tables.join(known, "id"), ["key"]), "open")
     # 6. tables that still hold several components
-    across = _pairs(open_, ["key"], _may_link(percent) & ((F.col("hub_a") != F.col("hub_b")) | _may_link_apart(percent)))
-    apart = _apart(open_.select("id", "n", "u", "root", "hub", "c").distinct(), sets, percent, work)
-    akin = _pairs(apart, ["hub", "s"], _may_link(percent))
-    late = work.put(_common(across.union(akin).distinct(), sets).where(_linked(percent)).select("a", "b"), "late")
+    may = _may_link(percent)
+    across = _pairs(open_, ["key"], may & (F.col("hub_a") != F.col("hub_b")))
+    close = _mixed(open_.drop("main").where(F.col("delta") <= _most_apart(percent)), ["key"])
+    beside = _pairs(close, ["key"], may & (F.col("hub_a") == F.col("hub_b")) & _near_hub(percent))
+    deltas = _deltas(open_.select("id", "n", "u", "root", "hub", "delta").distinct(), sets, percent, work)
+    akin = _pairs(deltas, ["hub", "s"], may & _early(percent), ("rank",))
+    late = work.put(_common(across.union(beside).union(akin).distinct(), sets).where(_linked(percent)).select("a", "b"), "late")
     return connected(links.union(late), work) if late.limit(1).count() else roots
 
 
