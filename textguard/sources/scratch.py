@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a row group of a scratch table: what a writing task buffers.
 BLOCK = 16 << 20
+#: Folders that a task writes at a time, rather than sorting its rows by folder first.
+WRITERS = 8
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 _OWN: dict[str, str] = {}
 
 
@@ -55,7 +58,12 @@ class Scratch:
         """Write a frame and read it back: cuts lineage, survives executors. ``by`` names folder columns."""
         self.count += 1
         path = f"{self.path}/{self.count}-{name}"
-        df.write.option("parquet.block.size", BLOCK).partitionBy(*by).parquet(path)
+        held = self.spark.conf.get(_WRITERS)
+        try:
+            self.spark.conf.set(_WRITERS, str(WRITERS if by else held))
+            df.write.option("parquet.block.size", BLOCK).partitionBy(*by).parquet(path)
+        finally:
+            self.spark.conf.set(_WRITERS, held)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Scratch:
