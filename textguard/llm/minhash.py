@@ -12,9 +12,9 @@ Links are found without meeting all pairs of a group:
    shared shingles bounds every likeness of a class, and most false candidates go here;
 4. in each table the member with the greatest shared part is the hub; each class is
    compared with one hub, and components are formed;
-5. while a table holds several components, a new hub is drawn in it, and each class
-   of another component meets the new hub it shares the most tables with: one pair a class
-   and round, as long as rounds find links;
+5. in tables that still hold several groups, new hubs are drawn, and each class of another
+   group meets those it shares the most tables with: a few pairs a class, so that a large group
+   grows together before pairs across groups are looked at;
 6. across components that still share a table, all pairs that may link are verified. Of two classes
    of one hub, each differs from the hub's set in some shingles, its delta. A link bounds how far
    two sets are apart, and so how much their deltas must share: they meet only on one of the rarest
@@ -48,8 +48,8 @@ ROWS, MISS = 2, 5e-4
 CACHE_WORDS, BLOCK = 400_000, 4096
 #: Partners of one class that go to one task.
 HUB_PARTNERS = 256
-#: Rounds of new hubs go on while at least one of so many comparisons finds a link.
-ROUND_YIELD = 8
+#: Draws of new hubs in a table.
+NEW_HUBS = 4
 _SEED = 0x5EED
 
 
@@ -231,15 +231,16 @@ def _mixed(rows: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(several.drop("parts"), on)
 
 
-def _round(open_: DataFrame, number: int) -> DataFrame:
-    """Pairs (a, b) of a round: each class and the new hub, of another component, that it shares the most tables with."""
-    drawn = F.struct(F.xxhash64(F.lit(number), F.col("id")), F.col("id"))
-    # of the main component and of the others one hub each: whoever stands in the one meets the other's
-    hubs = open_.groupBy("key", (F.col("root") == F.col("main")).alias("inner")).agg(F.max_by(F.struct("id", "root"), drawn).alias("hub"))
-    met = open_.select("id", "root", "key").join(hubs, "key").where(F.col("hub.root") != F.col("root"))
-    shared = met.groupBy("id", F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("tables"))
-    best = shared.groupBy("id").agg(F.max_by("hub", F.struct("tables", "hub")).alias("hub"))
-    return best.select(F.col("id").alias("a"), F.col("hub").alias("b"))
+def _new_hubs(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b): of each draw, the new hub of another group that a class shares the most tables with."""
+    drawn = lambda k: F.struct(F.xxhash64(F.lit(k), F.col("id")), F.col("id"))
+    # of the main group and of the others one hub each: whoever stands in the one meets the other's
+    hubs = open_.groupBy("key", (F.col("root") == F.col("main")).alias("inner")).agg(*[F.max_by(F.struct(F.lit(k).alias("draw"), "id", "root"), drawn(k)).alias(f"h{k}") for k in range(NEW_HUBS)])
+    each = hubs.select("key", F.explode(F.array(*[f"h{k}" for k in range(NEW_HUBS)])).alias("hub"))
+    met = open_.select("id", "root", "key").join(each, "key").where(F.col("hub.root") != F.col("root"))
+    shared = met.groupBy("id", F.col("hub.draw").alias("draw"), F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("tables"))
+    best = shared.groupBy("id", "draw").agg(F.max_by("hub", F.struct("tables", "hub")).alias("hub"))
+    return best.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 _SIDE = ("id", "n", "u", "root", "hub", "main", "delta")
@@ -342,19 +343,14 @@ def _roots(tables: DataFrame, bound: DataFrame, sets: DataFrame, percent: int, w
         known = hubs.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         return work.put(_mixed(tables.join(known, "id"), ["key"]), "open")
 
-    number, roots = 0, connected(links, work)
+    # 5. a class that links with its hub is of that hub's group, for now
+    near = stars.where(_linked(percent)).select(F.col("a").alias("id"), F.col("b").alias("root"))
+    above = near.select(F.col("id").alias("root"), F.col("root").alias("over"))
+    groups = near.join(above, "root", "left").select("id", F.coalesce("over", "root").alias("root"))
+    tried = _common(_new_hubs(mixed(groups)), sets).where(_linked(percent)).select("a", "b")
+    links = work.put(links.union(tried), "links")
+    roots = connected(links, work)
     open_ = mixed(roots)
-    while True:
-        # 5. a round of new hubs
-        number += 1
-        tried = work.put(_common(_round(open_, number), sets).select("a", "b", _linked(percent).alias("linked")), "tried")
-        made, hit = tried.agg(F.count(F.lit(1)), F.count_if("linked")).first()
-        if hit:
-            links = work.put(links.union(tried.where("linked").select("a", "b")), "links")
-            roots = connected(links, work)
-            open_ = mixed(roots)
-        if not hit or hit * ROUND_YIELD < made:
-            break
     # 6. tables that still hold several components
     may = _may_link(percent)
     across = _pairs(open_, ["key"], may & (F.col("hub_a") != F.col("hub_b")))
