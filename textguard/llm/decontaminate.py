@@ -26,7 +26,7 @@ from textguard.llm.common import Scratch, small_batches
 #: Words in a window, and in a shingle.
 WINDOW, SHINGLE = 10, 5
 #: Bits of the filter: so many a shingle, up to a bound of 32 MB.
-BITS_EACH, BITS_LEAST, BITS_MOST = 16, 1 << 16, 1 << 28
+BITS_EACH, BITS_LEAST, BITS_MOST = 64, 1 << 16, 1 << 28
 #: Words whose hash one worker keeps.
 CACHE_WORDS = 400_000
 _WORD_BYTES = bytes((b | 32) if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -133,7 +133,7 @@ def _filter(hashes: DataFrame, bits: int | None) -> Filter:
     return Filter(bits, words["word"].to_numpy(), words["mask"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _scan(shipped, sizes: list[int], size: int):
+def _scan(shipped, sizes: list[int], size: int, columns: list[str]):
     """Adds to each row the number of words and the shingles that pass: place, hash, and the words around."""
 
     def run(batches):
@@ -158,7 +158,7 @@ def _scan(shipped, sizes: list[int], size: int):
                 hashes.append(found)
                 around.append(near)
             new = [pa.array(counts, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(around, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "__words", "__at", "__hash", "__near"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *new], names=[*columns, "__words", "__at", "__hash", "__near"])
 
     return run
 
@@ -175,8 +175,8 @@ def _judged(docs: DataFrame, columns: list[str], benchmark: DataFrame, size: int
     sizes = [r[0] for r in runs.select(F.least(F.lit(SHINGLE), "words").alias("m")).distinct().collect()]  # five at most
     shipped = spark.sparkContext.broadcast(_filter(each.select("h").distinct(), bits))
     source = docs.select(*columns, *([] if "text" in columns else ["text"]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    scanned = source.mapInArrow(_scan(shipped, sizes, size), f"{fields}, __words long, __at array<int>, __hash array<long>, __near array<string>")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*columns).schema.fields)
+    scanned = source.mapInArrow(_scan(shipped, sizes, size, columns), f"{fields}, __words long, __at array<int>, __hash array<long>, __near array<string>")
     scanned = scanned.select(*columns, F.monotonically_increasing_id().alias("__key"), "__words", F.arrays_zip("__at", "__hash", "__near").alias("__found"))
     rows = kept.put(scanned.withColumn("__met", F.size("__found") > 0), "rows", ("__met",))
     found = rows.where("__met").select("__key", "__words", F.explode("__found").alias("x")).select("__key", "__words", F.col("x.__at").alias("at"), F.col("x.__hash").alias("h"), F.col("x.__near").alias("near"))
