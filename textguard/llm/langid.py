@@ -231,7 +231,10 @@ def predict_documents(docs: DataFrame) -> DataFrame:
     held = F.pmod(doc_crc(), F.lit(5)) == 0
     model = train(docs, ~held)
     rows = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out"))
-    return identify(rows, model).drop("text")
+    found = identify(rows, model).drop("text")
+    del model
+    memory.release()
+    return found
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -239,4 +242,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     model = train(docs, F.lit(True))
     if not model.langs:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    return identify(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    found = identify(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    del model
+    memory.release()
+    return found

@@ -28,12 +28,17 @@ def claim(owner: str) -> None:
     for cache in held:
         cache.clear()
     if held:
-        import ctypes
-        import gc
+        release()
 
-        import pyarrow as pa
 
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+def release() -> None:
+    """Give freed memory back to the system, in a worker or, after a model is trained and sent, in the driver."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
