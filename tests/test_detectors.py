@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textguard.functions import entities, registry
 from textguard.functions.detectors import STRUCTURED
 from textguard.functions.spans import matches
-from textguard.operators import pseudonym
+from textguard.operators import audit, pseudonym
 from textguard.operators.resolve import resolve
 from textguard.operators.rewrite import rewrite_runs, run_offsets
 from textguard.plans.redact import detect, redact, redact_rows
@@ -165,6 +165,37 @@ def test_rows_equal_own_layout(spark):
     assert redact_rows(units, policy).first()["redacted_text"] == redact(units, policy, "own").texts().first()["redacted_text"]
 
 
+def test_rows_with_one_id_or_none_keep_their_own_spans(spark):
+    texts = [(None, "mail a.b@x.org now"), ("2", "zz yy manav@y.org and 10.20.30.40 here"), ("2", "and plain words here, 10.20.30.41"), (None, "mail a.b@x.org now"), (None, None), ("2", "A.B@x.org, call +91 22 55501234 or +912255501234")]
+    units = spark.createDataFrame(texts, "doc_id string, text string").selectExpr("doc_id", "'body-0' AS unit_id", "0 AS ordinal", "text")
+    policy = Settings().only(("EMAIL", "IP", "PHONE"))
+    for layout in ("first_seen", "own"):
+        run = redact(units, policy, layout)
+        out = [r["redacted_text"] for r in run.texts().collect()]
+        assert len(out) == len(texts) and out.count(None) == 1
+        assert sum(bool(re.fullmatch(r"mail \S+@example\.com now", t or "")) for t in out) == 2
+        assert sum(bool(re.fullmatch(r"zz yy \S+@example\.com and [\d.]+ here", t or "")) for t in out) == 1
+        assert sum(bool(re.fullmatch(r"and plain words here, [\d.]+", t or "")) for t in out) == 1
+        raw = ["a.b@x.org", "A.B@x.org", "manav@y.org", "10.20.30.40", "10.20.30.41", "55501234"]
+        assert not any(v in (t or "") for v in raw for t in out) and run.leaks().count() == 0
+        assert {r["category"]: r["redactions"] for r in run.summary().collect()} == {"EMAIL": 4, "IP": 2, "PHONE": 2, None: 8}
+        assert run.spans.where("category = 'PHONE'").select("replacement").distinct().count() == 1
+        run.close()
+
+
+def test_leaks_are_seen_in_rows_without_an_id(spark):
+    units = spark.createDataFrame([(None, "body-0", 0, "mail a@x.com twice"), (None, "body-0", 0, "host 10.0.0.1")], "doc_id string, unit_id string, ordinal int, text string")
+    run = redact(units, Settings().only(("EMAIL", "IP")))
+    assert audit.leaks(run.rows.withColumn("redacted_text", F.col("text"))).count() == 2 and run.leaks().count() == 0
+
+
+def test_units_without_a_document_are_documents(spark):
+    rows = [(None, "body-0", 0, "Contact Person: Asha Rao"), (None, "body-1", 1, "then Asha Rao"), (None, "body-2", 2, "Contact Person: Ravi Jain, and Ravi Jain")]
+    units = spark.createDataFrame(rows, "doc_id string, unit_id string, ordinal int, text string")
+    found = detect(units, Settings().only(("NAME",))).select("unit_id", F.explode("spans").alias("s")).collect()
+    assert sorted((r["unit_id"], r["s"]["text"]) for r in found) == [("body-0", "Asha Rao"), ("body-2", "Ravi Jain"), ("body-2", "Ravi Jain")]
+
+
 def test_registered_detectors(spark):
     registry.register("tickets", registry.python_detector(lambda t: [(m.start(), m.end(), "TICKET") for m in re.finditer(r"T-\d+", t)], "python.ticket", 0.8))
     try:

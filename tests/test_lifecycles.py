@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from textguard import service
+from textguard import cli, service
 from textguard.operators import evaluate, gold
 from textguard.plans import queries as core
 from textguard.plans.redact import line_units
@@ -40,6 +40,18 @@ def test_scope_restricts(spark):
     assert (got["IP"]["tp"], got["IP"]["fp"]) == (1, 0)
 
 
+def test_units_of_several_documents_are_judged_apart(spark):
+    keys = "doc_id string, unit_id string, ord long, start int, end int, category string"
+    p = spark.createDataFrame([("a", "body-0", 0, 0, 5, "IP"), (None, "body-0", 0, 1, 4, "IP")], keys)
+    g = spark.createDataFrame([("b", "body-0", 0, 0, 5, "IP"), (None, "body-0", 0, 1, 4, "IP")], keys)
+    got = {r["category"]: r for r in evaluate.metrics(p, g, "strict").collect()}["IP"]
+    assert (got["tp"], got["fp"], got["fn"]) == (1, 1, 1)
+    lengths = spark.createDataFrame([("a", "body-0", 10), ("b", "body-0", 10), (None, "body-0", 10)], "doc_id string, unit_id string, n int")
+    assert evaluate.character_accuracy(p, g, lengths).first()["correct"] == 20
+    scope = spark.createDataFrame([("a", "body-0")], "doc_id string, unit_id string")
+    assert evaluate.character_accuracy(p, g, lengths, scope).first()["total"] == 10
+
+
 def test_character_accuracy_and_report(spark):
     p, g = ([("u", 0, 0, 4, "IP")], [("u", 0, 2, 99, "IP")])
     frames = [spark.createDataFrame(x, SPANS) for x in (p, g)]
@@ -76,6 +88,48 @@ def test_docx_units():
     assert units[1]["text"] == "Email: jane@example.org end" and units[7]["table_id"] is None and units[4]["row"] == 1
 
 
+def test_changed_runs_keep_tabs_and_breaks():
+    run = '<w:p><w:r><w:rPr><w:b/></w:rPr><w:t>a</w:t><w:tab/><w:t>mail x@y.org</w:t><w:br w:type="page"/><w:t>end</w:t></w:r></w:p>'
+    done = docx.patch(docx_writer.build([run]), {"body-0": ["a\tmail NEW\nmore\n\tend"]})
+    body = docx.unzip(done)["word/document.xml"].decode()
+    assert docx.parse(done)[0]["text"] == "a\tmail NEW\nmore\n\tend" and body.count("<w:tab") == 2 and body.count("<w:br") == 2
+    assert 'w:type="page"' in body and body.index("<w:rPr>") < body.index("<w:tab") and "\t" not in body.split("<w:body>")[1]
+
+
+def test_folders_with_equal_file_names(spark, tmp_path):
+    for folder, mail in (("a", "x@one.org"), ("b", "y@two.org")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "same.docx").write_bytes(docx_writer.build([f"mail {mail} now", "host 10.0.0.1" if folder == "b" else "none"]))
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    summary = service.redact_folder(spark, source, target, str(tmp_path / "log"), Settings())
+    assert summary["by_category"] == {"EMAIL": 2, "IP": 1}
+    texts = {f: docx.parse((tmp_path / "out" / f / "same.docx").read_bytes())[0]["text"] for f in "ab"}
+    assert all("@example.com" in t for t in texts.values()) and not list((tmp_path / "out").rglob("*.part"))
+    assert docx.relative_name("file:/x/in/a/b.docx", "file:///x/in/") == "a/b.docx" and docx.relative_name("s3://o/z/b.docx", "s3://o/y").endswith("-b.docx")
+    gold_file = tmp_path / "gold.jsonl"
+    gold_file.write_text('{"doc_id": "a/same.docx", "unit_id": "body-0", "start": 5, "end": 14, "category": "EMAIL"}\n')
+    text = cli.report(spark, source, str(gold_file), Settings(), modes=("strict", "overlap"))
+    assert text.count("| EMAIL | 1 | 1 | 0 |") == 2 and "| IP | 0 | 1 | 0 |" in text
+    gold_file.write_text('{"unit_id": "body-0", "start": 5, "end": 14, "category": "EMAIL"}\n')
+    with pytest.raises(ValueError):
+        cli.report(spark, source, str(gold_file), Settings())
+
+
+def test_scratch_is_deleted(spark):
+    from pathlib import Path
+
+    from textguard.sources.scratch import Scratch, scratch_dir, sweep
+
+    with Scratch(spark, "trial") as work:
+        frame = work.put(spark.sql("SELECT id, id % 2 = 0 AS even FROM range(10)"), "ids", ("even",))
+        assert frame.where("even").count() == 5 and Path(work.path).exists()
+    assert not Path(work.path).exists()
+    kept = Scratch(spark, "trial")
+    kept.put(spark.range(3), "ids")
+    sweep(spark)
+    assert not Path(scratch_dir(spark)).exists()
+
+
 def test_service_round_trip(spark):
     out = service.redact_bytes(spark, sample(), ("EMAIL", "NAME"), settings=Settings())
     texts = {u["unit_id"]: u for u in docx.parse(out["redacted_bytes"])}

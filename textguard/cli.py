@@ -23,14 +23,22 @@ from textguard.sources import docx, gold
 def report(spark: SparkSession, source: str, gold_path: str, settings, scope_path: str | None = None, modes: tuple[str, ...] = ()) -> str:
     """Scores of one redaction pass in one mode or several."""
     run = redact(docx.units_of(docx.read_files(spark, source)), settings)
-    found = gold.in_order(run.spans.select("unit_id", "start", "end", "category")).persist()
     truth, scope = gold.read_gold(spark, gold_path), gold.read_scope(spark, scope_path) if scope_path else None
-    live = run.units.where(F.col("text").rlike(r"(?U)\S")).select("unit_id", F.length("text").alias("n"))
+    units = run.units.withColumn("doc_id", docx.name_below(F.col("doc_id"), source))
+    spans = run.spans.select(docx.name_below(F.col("doc_id"), source).alias("doc_id"), "unit_id", "start", "end", "category")
+    if truth.where("doc_id is not null").isEmpty():
+        if units.select("doc_id").distinct().limit(2).count() > 1:
+            raise ValueError("gold of several files must name each span's file as doc_id")
+        truth, units, spans = truth.drop("doc_id"), units.drop("doc_id"), spans.drop("doc_id")
+    found = gold.in_order(spans).persist()
+    live = units.where(F.col("text").rlike(r"(?U)\S")).select(*[c for c in ("doc_id", "unit_id") if c in units.columns], F.length("text").alias("n"))
     if scope is None or scope.isEmpty():
-        scope = found.select("unit_id").union(truth.select("unit_id")).distinct()
+        keys = [c for c in ("doc_id", "unit_id") if c in found.columns]
+        scope = found.select(*keys).union(truth.select(*keys)).distinct()
     accuracy = evaluate.character_accuracy(found, truth, live, scope).first()["accuracy"]
     out = [evaluate.render(evaluate.metrics(found, truth, m, settings.categories, scope), m, accuracy) for m in modes or (settings.match_mode,)]
     found.unpersist()
+    run.close()
     return "\n\n".join(out)
 
 

@@ -72,16 +72,17 @@ def knowledge_base(units: DataFrame) -> DataFrame:
 
 
 def name_patterns(persons: DataFrame) -> DataFrame:
-    """(doc_id, name_pattern): one alternation per document, longest names first."""
+    """(doc_id, names, name_pattern): one alternation per document, longest names first."""
     quoted = F.regexp_replace("person", r"(?U)([^\w\s])", r"\\$1")
     longest = F.array_sort(F.collect_set(F.struct((-F.length("person")).alias("n"), quoted.alias("q"))))
     joined = F.array_join(F.transform(longest, lambda x: x["q"]), "|")
-    return persons.groupBy("doc_id").agg(F.concat(F.lit(r"(?U)(?<!\w)(?:"), joined, F.lit(r")(?!\w)")).alias("name_pattern"))
+    return persons.groupBy("doc_id").agg(F.collect_set("person").alias("names"), F.concat(F.lit(r"(?U)(?<!\w)(?:"), joined, F.lit(r")(?!\w)")).alias("name_pattern"))
 
 
-def name(text: Column, pattern: Column) -> Column:
-    """Occurrences of the document's persons; ``pattern`` is null where there are none."""
-    return F.when(pattern.isNull(), no_spans()).otherwise(span_extract(text, pattern, "NAME", "kb.name", 0.95))
+def name(text: Column, names: Column, pattern: Column) -> Column:
+    """Occurrences of the document's persons; both are null where there are none. A pattern is compiled only for texts that hold a name."""
+    there = F.coalesce(F.exists(names, lambda n: F.contains(text, n)), F.lit(False))
+    return span_extract(text, pattern, "NAME", "kb.name", 0.95, when=there)
 
 
 # ---------------------------------------------------------------- companies

@@ -59,12 +59,12 @@ def ner_detector(categories: tuple[str, ...], model: str) -> Detector | None:
     return python_detector(find, "spacy.ner", 0.6)
 
 
-def raw_spans(text: Column, settings: Settings, name_pattern: Column | None = None) -> Column:
-    """All detectors' spans, one after the other; disabled categories are not even built."""
+def raw_spans(text: Column, settings: Settings, names: tuple[Column, Column] | None = None) -> Column:
+    """All detectors' spans, one after the other; disabled categories are not even built. ``names``: the document's persons and their pattern."""
     on = settings.categories
     found = [detect(text) for category, detect in STRUCTURED.items() if category in on]
-    if "NAME" in on and name_pattern is not None:
-        found.append(entities.name(text, name_pattern))
+    if "NAME" in on and names is not None:
+        found.append(entities.name(text, *names))
     if "COMPANY" in on:
         found.append(entities.company(text, settings.company_allowlist))
     if "ADDRESS" in on:
@@ -76,5 +76,11 @@ def raw_spans(text: Column, settings: Settings, name_pattern: Column | None = No
 
 
 def with_name_patterns(units: DataFrame) -> DataFrame:
-    """``units`` with each document's name_pattern (null without persons)."""
-    return units.join(entities.name_patterns(entities.knowledge_base(units)), "doc_id", "left")
+    """``units`` with their document's persons and their pattern as __names and __pattern (null without persons).
+
+    A unit without a doc_id is a document of its own.
+    """
+    owner = F.coalesce(F.col("doc_id"), F.concat(F.lit("\0"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    owned = units.withColumn("__doc", owner)
+    known = entities.name_patterns(entities.knowledge_base(owned.drop("doc_id").withColumnRenamed("__doc", "doc_id")))
+    return owned.join(known.select(F.col("doc_id").alias("__doc"), F.col("names").alias("__names"), F.col("name_pattern").alias("__pattern")), "__doc", "left").drop("__doc")

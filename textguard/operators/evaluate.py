@@ -10,6 +10,20 @@ from textguard.schema import CATEGORIES
 _PAIR = "array<struct<ord:long,start:int,end:int>>"
 
 
+def _unit(*frames: DataFrame) -> Column:
+    """What tells units apart: doc_id too where all frames have it. A struct, so that null ids equal each other."""
+    return F.struct(*[c for c in ("doc_id", "unit_id") if all(c in f.columns for f in frames)]).alias("unit")
+
+
+def _within(frames: list[DataFrame], scope: DataFrame | None) -> list[DataFrame]:
+    """Frames restricted to the units of a scope; an empty one counts as none."""
+    if scope is None or scope.limit(1).isEmpty():
+        return frames
+    unit = _unit(scope, *frames)
+    units = scope.select(unit).distinct()
+    return [f.withColumn("unit", unit).join(units, "unit", "left_semi").drop("unit") for f in frames]
+
+
 def matched(preds: Column, golds: Column, mode: str) -> Column:
     """Number of golds that find a prediction of their own.
 
@@ -33,18 +47,17 @@ def matched(preds: Column, golds: Column, mode: str) -> Column:
 def counts(predictions: DataFrame, gold: DataFrame, mode: str = "overlap", categories=CATEGORIES, scope: DataFrame | None = None) -> DataFrame:
     """tp, fp, fn of every category in force, those without spans included.
 
-    Both inputs: unit_id, ord (input order), start, end, category. A scope (unit_id) restricts
-    both; an empty one counts as none.
+    Both inputs: unit_id (and doc_id, where units of several documents are judged), ord (input order),
+    start, end, category. A scope (unit_id, doc_id) restricts both; an empty one counts as none.
     """
-    if scope is not None and not scope.limit(1).isEmpty():
-        units = scope.select("unit_id").distinct()
-        predictions, gold = (x.join(units, "unit_id", "left_semi") for x in (predictions, gold))
+    predictions, gold = _within([predictions, gold], scope)
+    unit = _unit(predictions, gold)
 
     def grouped(spans: DataFrame, name: str) -> DataFrame:
         rows = F.array_sort(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), "start", "end")))
-        return spans.where(F.col("category").isin(*categories)).groupBy("unit_id", "category").agg(rows.alias(name))
+        return spans.where(F.col("category").isin(*categories)).groupBy(unit, "category").agg(rows.alias(name))
 
-    both = grouped(predictions, "p").join(grouped(gold, "g"), ["unit_id", "category"], "full_outer")
+    both = grouped(predictions, "p").join(grouped(gold, "g"), ["unit", "category"], "full_outer")
     p, g = (F.coalesce(F.col(c), F.array().cast(_PAIR)) for c in ("p", "g"))
     rows = both.select("category", p.alias("p"), g.alias("g")).select("category", F.size("p").alias("n_p"), F.size("g").alias("n_g"), matched(F.col("p"), F.col("g"), mode).alias("tp"))
     sums = rows.groupBy("category").agg(F.sum("tp").alias("tp"), F.sum(F.col("n_p") - F.col("tp")).alias("fp"), F.sum(F.col("n_g") - F.col("tp")).alias("fn"))
@@ -71,22 +84,21 @@ def metrics(predictions: DataFrame, gold: DataFrame, mode: str = "overlap", cate
 def character_accuracy(predictions: DataFrame, gold: DataFrame, lengths: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Share of characters on which both sides agree to be personal data or not; one row.
 
-    ``lengths``: unit_id, n. Spans of any category count, clamped to the unit. Without
+    ``lengths``: unit_id (and doc_id), n. Spans of any category count, clamped to the unit. Without
     characters the accuracy is 1.
     """
-    units = lengths.where(F.col("n") > 0)
-    if scope is not None and not scope.limit(1).isEmpty():
-        units = units.join(scope.select("unit_id").distinct(), "unit_id", "left_semi")
+    unit = _unit(predictions, gold, lengths)
+    units = _within([lengths.where(F.col("n") > 0)], scope)[0].withColumn("unit", unit)
 
     def mask(spans: DataFrame, name: str) -> DataFrame:
-        return spans.groupBy("unit_id").agg(F.collect_list(F.struct("start", "end")).alias(name))
+        return spans.groupBy(unit).agg(F.collect_list(F.struct("start", "end")).alias(name))
 
     def covered(spans: Column, n: Column) -> Column:
         inside = F.filter(F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>")), lambda s: s["start"] < F.least(s["end"], n))
         return F.array_distinct(F.flatten(F.transform(inside, lambda s: F.sequence(s["start"], F.least(s["end"], n) - 1))))
 
     n = F.col("n").cast("int")
-    rows = units.join(mask(predictions, "p"), "unit_id", "left").join(mask(gold, "g"), "unit_id", "left").select("n", covered(F.col("p"), n).alias("p"), covered(F.col("g"), n).alias("g"))
+    rows = units.join(mask(predictions, "p"), "unit", "left").join(mask(gold, "g"), "unit", "left").select("n", covered(F.col("p"), n).alias("p"), covered(F.col("g"), n).alias("g"))
     differ = F.size(F.array_except("p", "g")) + F.size(F.array_except("g", "p"))
     total = rows.agg(F.sum(F.col("n") - differ).cast("long").alias("correct"), F.sum("n").cast("long").alias("total"))
     filled = total.na.fill(0)

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.functions import entities
+from textguard.functions import entities, registry
 from textguard.functions.detectors import STRUCTURED
+from textguard.functions.spans import span_extract
 from textguard.operators import evaluate, gold
 from textguard.operators.resolve import resolve
 from textguard.operators.rewrite import rewrite_runs, run_offsets
@@ -19,6 +20,7 @@ from textguard.plans import sql as S
 from textguard.plans.redact import detect, redact, span_rows, text_units
 from textguard.schema import Settings
 from textguard.sources.gold import in_order
+from textguard.streaming import redact as stream
 
 #: Policy of the registered queries; the salt is public on purpose, so that SQL can check digests.
 POLICY = Settings()
@@ -59,6 +61,29 @@ def _profile_spans(detector):
     return query
 
 
+def name_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons and aliases mined from the tables of documents built from ``customer``: one with names and roles, one without roles."""
+    return entities.with_aliases(entities.mine_tables(spark.sql(S.CELLS, customer=_table(spark, sf_dir, "customer"))))
+
+
+def registered_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector registered from outside, beside the built-in ones: customers' numbers."""
+    names = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit("body-0").alias("unit_id"), F.lit(0).alias("ordinal"), F.concat(F.lit("see "), "c_name", F.lit(" at 10.0.0.1")).alias("text"))
+    registry.register("customers", lambda text: span_extract(text, r"Customer#[0-9]+", "CUSTOMER", "registered.customer", 0.8))
+    try:
+        found = detect(names, POLICY.only(("IP",))).select("doc_id", F.explode("spans").alias("s"))
+    finally:
+        registry.unregister("customers")
+    return found.select("doc_id", F.col("s.category").alias("category"), F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.text").alias("value"))
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming form over ``documents`` as a static frame: redactions by category and five minutes of event time."""
+    stamped = _documents(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("doc_id").cast("long") * 7))
+    counts = stream.audit_windows(stream.redact_stream(stamped, STRUCTURED_POLICY))
+    return counts.select(F.unix_seconds("window_start").alias("window_start"), "category", "redactions")
+
+
 def name_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.knowledge_base(_profiles(spark, sf_dir))
 
@@ -137,6 +162,19 @@ def _scored(mode: str):
     return query
 
 
+def eval_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both modes over one pass of detection, as the two-mode report has them."""
+    preds, golds = _judged(spark, sf_dir)
+    both = [evaluate.metrics(preds, golds, mode).withColumn("mode", F.lit(mode)) for mode in ("strict", "overlap")]
+    return both[0].unionByName(both[1])
+
+
+def eval_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores restricted to a scope: units whose number is divisible by three."""
+    scope = _documents(spark, sf_dir).select(F.col("doc_id").alias("unit_id")).where(F.col("unit_id").cast("long") % 3 == 0)
+    return evaluate.metrics(*_judged(spark, sf_dir), "overlap", scope=scope)
+
+
 def char_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = _documents(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), F.length("text").alias("n"))
     return evaluate.character_accuracy(*_judged(spark, sf_dir), lengths)
@@ -173,11 +211,11 @@ def run_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docx_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of DOCX files made from the nation table, one file per region, parsed again."""
+    """Units of DOCX files made from the supplier table, one file per nation, parsed again."""
     from textguard.sources import docx, workers
     from textguard.sources.docx_writer import build_batches
 
-    rows = _table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list("n_name")).alias("texts"))
+    rows = _table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("doc_id")).agg(F.array_sort(F.collect_list("s_name")).alias("texts"))
     workers.ship(spark)
     return docx.units_of(rows.mapInPandas(build_batches, "doc_id string, content binary")).drop("runs")
 
@@ -206,6 +244,9 @@ QUERIES = {
     "dob_spans": _profile_spans(STRUCTURED["DOB"]),
     "company_spans": _profile_spans(lambda c: entities.company(c, POLICY.company_allowlist)),
     "address_spans": _profile_spans(entities.address),
+    "name_tables": name_tables,
+    "registered_spans": registered_spans,
+    "stream_windows": stream_windows,
     "name_kb": name_kb,
     "name_spans": name_spans,
     "profile_spans": resolved_spans,
@@ -219,6 +260,8 @@ QUERIES = {
     "leak_check": leak_check,
     "eval_strict": _scored("strict"),
     "eval_overlap": _scored("overlap"),
+    "eval_modes": eval_modes,
+    "eval_scope": eval_scope,
     "char_accuracy": char_accuracy,
     "gold_build": gold_build,
     "run_offsets": run_offset_rows,

@@ -20,6 +20,9 @@ def _case(key: str, words) -> str:
 _FIRST = _case("k", ("Asha", "Ravi", "Meera", "Kiran", "Sunil"))
 _MIDDLE = _case("k", ("Mohan", "Devi", "Prakash"))
 _LAST = _case("k", ("Rao", "Sharma", "Kapoor", "Desai", "Khan", "Jain", "Verma"))
+# persons of the other anchors, whose names nobody else has
+_GUEST = _case("k", ("Nikhil", "Pooja", "Tarun"))
+_FAMILY = [_case("k", x) for x in (("Bhatt", "Mistry"), ("Saxena", "Dalal"), ("Pandit", "Ghosh"), ("Sinha", "Biswas"))]
 _MONTH = _case("k", ("January", "March", "May", "August", "December"))
 _FIRM = _case("k", ("Blue Lake Wealth", "Cotton Mills and Power", "Sunrise Tools (India)"))
 _SUFFIX = _case("k", ("Limited", "Private Limited", "LLP", "Ltd."))
@@ -52,6 +55,12 @@ _TEMPLATES = (
     ("'card '", _case("k", ("4111 1111 1111 1111", "5555-5555-5555-4444", "378282246310005")), "' ok'", "CREDIT_CARD"),
     ("'card 4111111111111112 and host 999.1.1.1 fail, page '", "''", "'none'", None),
     ("'host '", "(k % 223 + 1) || '.' || k % 256 || '.0.' || k % 256", "' up'", "IP"),
+    ("'with Smt. '", f"{_GUEST} || ' ' || {_FAMILY[0]}", "' and others'", "NAME"),
+    ("'here '", f"{_GUEST} || ' ' || {_FAMILY[1]}", "' is our adviser'", "NAME"),
+    ("'the heir being '", f"{_GUEST} || ' ' || {_FAMILY[2]}", "' as agreed'", "NAME"),
+    ("'in charge is the Contact Person:'", "''", "''", None),
+    ("''", f"{_GUEST} || ' ' || {_FAMILY[3]}", "' replied'", "NAME"),
+    ("'no anchor for Gita Prabhu'", "''", "' at all'", None),
 )
 
 
@@ -177,7 +186,37 @@ def _mapped(spans: str, settings: Settings) -> str:
 
 _PERSONS = f"""
 SELECT DISTINCT doc_id, person FROM (
-  SELECT cast(k as string) AS doc_id, unnest([{_FIRST} || ' ' || {_MIDDLE} || ' ' || {_LAST}, {_FIRST} || ' ' || {_LAST}]) AS person FROM (SELECT c_custkey AS k FROM customer))"""
+  SELECT cast(k as string) AS doc_id, unnest([{_FIRST} || ' ' || {_MIDDLE} || ' ' || {_LAST}, {_FIRST} || ' ' || {_LAST}, {", ".join(f"{_GUEST} || ' ' || {x}" for x in _FAMILY)}]) AS person FROM (SELECT c_custkey AS k FROM customer))"""
+
+#: Cells of two tables a document; the second names no role, so nobody is mined from it.
+_CELL = "SELECT cast(k as string) AS doc_id, {0} AS ordinal, {1} AS table_id, {2} AS row, {3} AS col, {4} AS text FROM c"
+CELLS = "WITH c AS (SELECT c_custkey AS k FROM {customer})\n" + "\nUNION ALL\n".join(
+    _CELL.format(*x)
+    for x in (
+        (0, 0, 0, 0, "'Sr. No.'"), (1, 0, 0, 1, "'Name of the holder'"), (2, 0, 0, 2, "'Designation'"),
+        (3, 0, 1, 0, "'1'"), (4, 0, 1, 1, f"{_FIRST} || ' ' || {_MIDDLE} || '  ' || {_LAST} || '*(1)'"), (5, 0, 1, 2, "'Member'"),
+        (6, 0, 2, 0, "'2'"), (7, 0, 2, 1, "'Total'"), (8, 0, 2, 2, "''"), (9, 0, 3, 1, f"'the ' || {_GUEST} || ' ' || {_FAMILY[0]} || ' family'"),
+        (10, 1, 0, 0, "'Name'"), (11, 1, 0, 1, "'Age'"), (12, 1, 1, 0, "'Gita Prabhu'"), (13, 1, 1, 1, "'40'"),
+    )
+)
+_MINED = f"""
+SELECT DISTINCT doc_id, person FROM (
+  SELECT cast(k as string) AS doc_id, unnest([{_FIRST} || ' ' || {_MIDDLE} || ' ' || {_LAST}, {_FIRST} || ' ' || {_LAST}, {_GUEST} || ' ' || {_FAMILY[0]}]) AS person FROM (SELECT c_custkey AS k FROM customer))"""
+
+# Units of a file: its heading, a table with a header row and a row a text, the texts, a header and a footer.
+_DOCX = """
+WITH d AS (SELECT s_nationkey::VARCHAR AS doc_id, list_sort(list(s_name)) AS t, count(*)::INTEGER AS n FROM supplier GROUP BY s_nationkey),
+e AS (SELECT doc_id, t, n, unnest(range(1, n + 1))::INTEGER AS r FROM d),
+u AS (
+  SELECT doc_id, 0 AS ordinal, 'body' AS kind, 'word/document.xml' AS part, 'body/0' AS xml_path, NULL::INTEGER AS table_id, NULL::INTEGER AS row, NULL::INTEGER AS col, 'Region ' || doc_id AS text FROM d
+  UNION ALL SELECT doc_id, 1, 'cell', 'word/document.xml', 'body/1/tr[0]/tc[0]/p[0]', 0, 0, 0, 'Name' FROM d
+  UNION ALL SELECT doc_id, 2, 'cell', 'word/document.xml', 'body/1/tr[0]/tc[1]/p[0]', 0, 0, 1, 'Designation' FROM d
+  UNION ALL SELECT doc_id, 1 + 2 * r, 'cell', 'word/document.xml', 'body/1/tr[' || r || ']/tc[0]/p[0]', 0, r, 0, t[r] FROM e
+  UNION ALL SELECT doc_id, 2 + 2 * r, 'cell', 'word/document.xml', 'body/1/tr[' || r || ']/tc[1]/p[0]', 0, r, 1, 'Member' FROM e
+  UNION ALL SELECT doc_id, 2 + 2 * n + r, 'body', 'word/document.xml', 'body/' || (r + 1), NULL, NULL, NULL, t[r] FROM e
+  UNION ALL SELECT doc_id, 3 + 3 * n, 'header', 'word/header1.xml', 'p[0]', NULL, NULL, NULL, 'Header ' || doc_id FROM d
+  UNION ALL SELECT doc_id, 4 + 3 * n, 'footer', 'word/footer1.xml', 'p[0]', NULL, NULL, NULL, 'Page' FROM d)
+SELECT doc_id, CASE kind WHEN 'header' THEN 'hdr-0-' WHEN 'footer' THEN 'ftr-0-' ELSE kind || '-' END || ordinal AS unit_id, ordinal::INTEGER AS ordinal, kind, part, xml_path, table_id, row, col, text FROM u"""
 
 _JUDGED = f"""
 WITH spans AS MATERIALIZED (SELECT doc_id AS unit_id, span_start AS s, span_end AS e, category, (doc_id::BIGINT + span_start) % 7 AS turn FROM ({_DOCUMENT_SPANS})),
@@ -186,10 +225,11 @@ g AS (SELECT unit_id, s, CASE WHEN turn IN (1, 2) THEN e + 2 ELSE e END AS e, ca
       UNION ALL SELECT unit_id, e + 5, e + 9, category FROM spans WHERE turn = 3)"""
 
 
-def _scored(condition: str) -> str:
+def _scored(condition: str, scope: str = "true") -> str:
     """One-to-one matches: spans of a side are apart, so each gold has at most one partner that does."""
     cats = ", ".join(f"('{c}')" for c in CATEGORIES)
-    return f"""{_JUDGED},
+    return f"""{_JUDGED.replace("p AS (SELECT unit_id, s, e, category FROM spans)", f"all_p AS (SELECT unit_id, s, e, category FROM spans), p AS (SELECT * FROM all_p WHERE {scope})").replace("g AS (", "all_g AS (")},
+g AS (SELECT * FROM all_g WHERE {scope}),
 m AS (SELECT category, count(*) AS tp FROM (SELECT DISTINCT g.unit_id, g.category, g.s FROM g JOIN p ON g.unit_id = p.unit_id AND g.category = p.category AND {condition}) GROUP BY category),
 c AS (SELECT k.category, coalesce(m.tp, 0)::BIGINT AS tp, (coalesce(np, 0) - coalesce(m.tp, 0))::BIGINT AS fp, (coalesce(ng, 0) - coalesce(m.tp, 0))::BIGINT AS fn
       FROM (VALUES {cats}) k(category) LEFT JOIN m ON m.category = k.category
@@ -246,6 +286,12 @@ def oracles(settings: Settings) -> dict[str, str]:
         "company_spans": _constructed("COMPANY"),
         "address_spans": _constructed("ADDRESS"),
         "name_kb": _PERSONS,
+        "name_tables": _MINED,
+        "docx_units": _DOCX,
+        "registered_spans": "SELECT c_custkey::VARCHAR AS doc_id, 'CUSTOMER' AS category, 4 AS span_start, (4 + length(c_name))::INTEGER AS span_end, c_name AS value FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'IP', (8 + length(c_name))::INTEGER, (16 + length(c_name))::INTEGER, '10.0.0.1' FROM customer",
+        "stream_windows": f"SELECT (doc_id::BIGINT * 7 // 300 * 300)::BIGINT AS window_start, category, count(*) AS redactions FROM ({_DOCUMENT_SPANS}) GROUP BY ALL",
+        "eval_modes": f"SELECT *, 'strict' AS mode FROM ({_scored('g.s = p.s AND g.e = p.e')}) UNION ALL SELECT *, 'overlap' AS mode FROM ({_scored('g.s < p.e AND p.s < g.e')})",
+        "eval_scope": _scored("g.s < p.e AND p.s < g.e", "unit_id::BIGINT % 3 = 0"),
         "name_spans": _constructed("NAME"),
         "profile_spans": _PROFILE_SPANS,
         "resolved_spans": _RESOLVED,

@@ -22,14 +22,18 @@ def redact_bytes(spark: SparkSession, content: bytes, categories, use_ner: bool
     done = docx.rewritten_files(files, run.runs()).first()
     rows = run.audit().orderBy("ordinal", "start").collect()  # of one file
     lines = [json.dumps({k: r[k] for k in ("unit_id", "category", "entity_id", "replacement")}, ensure_ascii=False) + "\n" for r in rows]
-    return {"redacted_bytes": bytes(done["content"]), "audit_bytes": "".join(lines).encode(), "summary": audit.summary_dict(run.spans)}
+    summary = audit.summary_dict(run.spans)
+    run.close()
+    return {"redacted_bytes": bytes(done["content"]), "audit_bytes": "".join(lines).encode(), "summary": summary}
 
 
 def redact_folder(spark: SparkSession, source: str, target: str, audit_path: str | None = None, settings: Settings | None = None) -> dict:
     """All DOCX files of a folder; returns the summary."""
     files = docx.read_files(spark, source)
     run = redact(docx.units_of(files), settings or load_settings())
-    docx.save_files(docx.rewritten_files(files, run.runs()), target)
+    docx.save_files(docx.rewritten_files(files, run.runs()), target, source)
     if audit_path:
         audit.write_jsonl(run.spans, audit_path)
-    return audit.summary_dict(run.spans)
+    summary = audit.summary_dict(run.spans)
+    run.close()
+    return summary

@@ -8,12 +8,15 @@ a unit, and paragraphs are told apart by part and path, so separate headers neve
 
 from __future__ import annotations
 
+import hashlib
 import io
+import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.schema import UNITS
@@ -30,6 +33,22 @@ def run_text(run: ET.Element) -> str:
     return "".join(x.text or "" if x.tag == f"{W}t" else _BREAKS.get(x.tag, "") for x in run)
 
 
+def set_run_text(run: ET.Element, text: str) -> None:
+    """Put a new text into a run: tabs and line breaks are elements, and those the run had are used again, with their attributes."""
+    old = [x for x in run if x.tag == f"{W}t" or x.tag in _BREAKS]
+    at = list(run).index(old[0]) if old else len(run)
+    spare = {c: [x for x in old if _BREAKS.get(x.tag) == c] for c in "\t\n"}
+    for child in old:
+        run.remove(child)
+    for k, part in enumerate(p for p in re.split(r"([\t\n])", text) if p):
+        if part in spare:
+            node = spare[part].pop(0) if spare[part] else ET.Element(f"{W}tab" if part == "\t" else f"{W}br")
+        else:
+            node = ET.Element(f"{W}t", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"})
+            node.text = part
+        run.insert(at + k, node)
+
+
 def runs_of(paragraph: ET.Element) -> list[ET.Element]:
     """Runs of a paragraph in order, those inside links and insertions included."""
     out = []
@@ -133,11 +152,7 @@ def patch(content: bytes, changes: dict[str, list[str]]) -> bytes:
         for run, text in zip(runs_of(p), changes[unit_id], strict=True):
             if run_text(run) == text:
                 continue
-            for child in [x for x in run if x.tag == f"{W}t" or x.tag in _BREAKS]:
-                run.remove(child)
-            node = ET.SubElement(run, f"{W}t")
-            node.text = text
-            node.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+            set_run_text(run, text)
     if len({id(r) for r in roots.values()}) < len(roots):
         raise ValueError("parts share a tree")
     out = io.BytesIO()
@@ -168,8 +183,8 @@ def units_of(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, content) of the files below a path; doc_id is the path."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select(F.col("path").alias("doc_id"), "content")
+    """(doc_id, content) of the files below a path, in subfolders too; doc_id is the whole path."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("doc_id"), "content")
 
 
 def _patch_batches(batches):
@@ -187,15 +202,41 @@ def rewritten_files(files: DataFrame, changed: DataFrame) -> DataFrame:
     return files.join(by_doc, "doc_id", "left").select("doc_id", "content", "units").mapInPandas(_patch_batches, "doc_id string, content binary")
 
 
-def save_files(files: DataFrame, folder: str) -> None:
-    """One file per row below a folder that all executors share, named like the original."""
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+
+
+def relative_name(doc_id: str, source: str) -> str:
+    """A file's path below its source; elsewhere its name behind a digest of its path, so that no two files share one."""
+    path, root = re.sub(_SCHEME, "", doc_id), re.sub(_SCHEME, "", source).rstrip("/") + "/"
+    if path.startswith(root):
+        return path[len(root) :]
+    return f"{hashlib.sha256(doc_id.encode()).hexdigest()[:12]}-{path.rsplit('/', 1)[-1]}"
+
+
+def name_below(doc_id: Column, source: str) -> Column:
+    """``relative_name`` of a column."""
+    path, root = F.regexp_replace(doc_id, _SCHEME, ""), re.sub(_SCHEME, "", source).rstrip("/") + "/"
+    apart = F.concat(F.substring(F.sha2(doc_id.cast("binary"), 256), 1, 12), F.lit("-"), F.element_at(F.split(path, "/"), -1))
+    return F.when(path.startswith(root), F.substring(path, F.lit(len(root) + 1), F.length(path))).otherwise(apart)
+
+
+def save_files(files: DataFrame, folder: str, source: str) -> None:
+    """One file per row below a folder that all executors reach (a shared path or a store's URI), placed as below ``source``.
+
+    A file is written under a name of its own and then moved, so a task that runs twice leaves one whole file.
+    """
 
     def save(rows):
-        import os
+        from pyarrow import fs
 
-        os.makedirs(folder, exist_ok=True)
+        store, base = fs.FileSystem.from_uri(folder) if re.match(_SCHEME, folder) else (fs.LocalFileSystem(), folder)
         for r in rows:
-            with open(os.path.join(folder, os.path.basename(r["doc_id"])), "wb") as f:
-                f.write(bytes(r["content"]))
+            path = f"{base.rstrip('/')}/{relative_name(r['doc_id'], source)}"
+            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(part) as out:
+                out.write(bytes(r["content"]))
+            store.move(part, path)
 
+    workers.ship(files.sparkSession)
     files.foreachPartition(save)

@@ -22,5 +22,11 @@ def audit_windows(redacted: DataFrame, ts: str = "ts", window: str = "5 minutes"
 
 
 def redact_batches(units: DataFrame, settings: Settings, sink, checkpoint: str):
-    """Whole documents per micro-batch, names included: ``sink(redaction, batch_id)`` gets each."""
-    return units.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: sink(redact(batch, settings), n)).start()
+    """Whole documents per micro-batch, names included: ``sink(redaction, batch_id)`` gets each and must have read it when it returns."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        run = redact(batch, settings)
+        sink(run, number)
+        run.close()
+
+    return units.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle).start()
