@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns
 of ``docs``. Every stage works on all rows that its predecessor kept.
+
+Defined results: a null, empty or letterless text goes in ``language_id``; a null id is a document like others, but
+goes in ``near_dedup`` if its component has an id; of rows with one id each is judged by its own text; very
+long texts are read whole; of ties the least id stays; equal rows stay or go together; a null in
+any other column is passed on, and so are extra columns; an empty table gives an empty table; an empty
+``benchmark`` drops nothing.
 """
 
 from __future__ import annotations
@@ -10,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textguard.llm import decontaminate, langid, minhash, packing, secrets
 from textguard.llm.common import scratch_path, table
+from textguard.sources.scratch import delete
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +57,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written as Parquet and reread."""
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), ""
     for name, stage in STAGES:
-        path = scratch_path(spark, name)
+        before, path = path, scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)  # the next stage has read it
     return docs
