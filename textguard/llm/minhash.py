@@ -13,7 +13,7 @@ Links are found without meeting all pairs of a group:
 4. in each table the member with the greatest shared part is the hub; each class is
    compared with one hub, and components are formed;
 5. in tables that still hold several groups, new hubs are drawn, and each class of another
-   group meets those it shares the most tables with: a few pairs a class, so that a large group
+   group meets the one it shares the most tables with: one pair a class, so that a large group
    grows together before pairs across groups are looked at;
 6. across components that still share a table, all pairs that may link are verified. Of two classes
    of one hub, each differs from the hub's set in some shingles, its delta. A link bounds how far
@@ -45,9 +45,7 @@ from textguard.llm.common import Scratch, row_key, small_batches
 #: Minhashes in a sub-key; share of pairs at the very threshold that no table may meet.
 ROWS, MISS = 2, 5e-4
 #: Words whose hash one worker keeps; shingles hashed at a time.
-CACHE_WORDS, BLOCK = 400_000, 4096
-#: Partners of one class that go to one task.
-HUB_PARTNERS = 256
+CACHE_WORDS, BLOCK = 250_000, 4096
 #: Draws of new hubs in a table.
 NEW_HUBS = 4
 _SEED = 0x5EED
@@ -180,20 +178,14 @@ def connected(edges: DataFrame, work: Scratch) -> DataFrame:
             return roots
 
 
-def _dealt(pairs: DataFrame, many: str, one: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs with a number ``way``, and (one, way): as many ways as a class on the side ``one`` has HUB_PARTNERS of ``many``."""
-    sizes = pairs.groupBy(one).agg(F.ceil(F.count(F.lit(1)) / HUB_PARTNERS).cast("int").alias("ways"))
-    spread = pairs.join(sizes, one).withColumn("way", F.pmod(F.xxhash64(many), F.col("ways")).cast("int")).drop("ways")
-    return spread, sizes.select(one, F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
-
-
 def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sizes of their full sets and of what these have in common."""
-    # a hub has many partners: its set goes to each of the tasks that they are dealt to
-    spread, ways = _dealt(pairs, "a", "b")
-    a = sets.select(F.col("id").alias("a"), F.col("sh").alias("sh_a"))
-    b = sets.select(F.col("id").alias("b"), F.col("sh").alias("sh_b")).join(ways, "b")
-    met = spread.join(a, "a").join(b, ["b", "way"])
+    """Pairs (a, b) with the sizes of their full sets and of what these have in common.
+
+    A hub has many partners: both joins are inner ones between plain shuffles, so adaptive execution deals the
+    partners by their measured size and sends the hub's one row to each task.
+    """
+    a, b = (sets.select(F.col("id").alias(x), F.col("sh").alias(f"sh_{x}")) for x in "ab")
+    met = pairs.select("a", "b").join(a, "a").join(b, "b")
     return met.select("a", "b", F.size("sh_a").alias("n_a"), F.size("sh_b").alias("n_b"), F.size(F.array_intersect("sh_a", "sh_b")).alias("c"))
 
 
@@ -232,15 +224,13 @@ def _mixed(rows: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _new_hubs(open_: DataFrame) -> DataFrame:
-    """Pairs (a, b): of each draw, the new hub of another group that a class shares the most tables with."""
-    drawn = lambda k: F.struct(F.xxhash64(F.lit(k), F.col("id")), F.col("id"))
-    # of the main group and of the others one hub each: whoever stands in the one meets the other's
-    hubs = open_.groupBy("key", (F.col("root") == F.col("main")).alias("inner")).agg(*[F.max_by(F.struct(F.lit(k).alias("draw"), "id", "root"), drawn(k)).alias(f"h{k}") for k in range(NEW_HUBS)])
-    each = hubs.select("key", F.explode(F.array(*[f"h{k}" for k in range(NEW_HUBS)])).alias("hub"))
-    met = open_.select("id", "root", "key").join(each, "key").where(F.col("hub.root") != F.col("root"))
-    shared = met.groupBy("id", F.col("hub.draw").alias("draw"), F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("tables"))
-    best = shared.groupBy("id", "draw").agg(F.max_by("hub", F.struct("tables", "hub")).alias("hub"))
-    return best.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    """Pairs (a, b): of a few hubs drawn in each table, the one of another group that a class shares the most tables with."""
+    drawn = lambda k: F.max_by(F.struct("id", "root"), F.struct(F.xxhash64(F.lit(k), F.col("id")), F.col("id")))
+    # of the main group and of the others some hubs each: whoever stands in the one meets the other's
+    hubs = open_.groupBy("key", (F.col("root") == F.col("main")).alias("inner")).agg(F.array(*[drawn(k) for k in range(NEW_HUBS)]).alias("hubs"))
+    met = open_.select("id", "root", "key").join(hubs.select("key", F.explode("hubs").alias("hub")), "key").where(F.col("hub.root") != F.col("root"))
+    shared = met.groupBy("id", F.col("hub.id").alias("hub")).agg(F.count(F.lit(1)).alias("tables"))
+    return shared.groupBy(F.col("id").alias("a")).agg(F.max_by("hub", F.struct("tables", "hub")).alias("b"))
 
 
 _SIDE = ("id", "n", "u", "root", "hub", "main", "delta")
@@ -266,10 +256,9 @@ def _deltas(members: DataFrame, sets: DataFrame, percent: int, work: Scratch) ->
     never more than D + 1, as sizes differ by D at most. ``_early`` asks that of a pair's ranks.
     """
     own = sets.select("id", F.col("sh").alias("sh_own"))
-    spread, ways = _dealt(members, "id", "hub")
-    hub = sets.select(F.col("id").alias("hub"), F.col("sh").alias("sh_hub")).join(ways, "hub")
+    hub = sets.select(F.col("id").alias("hub"), F.col("sh").alias("sh_hub"))
     delta = F.concat(F.array_except("sh_own", "sh_hub"), F.array_except("sh_hub", "sh_own"))
-    each = spread.join(own, "id").join(hub, ["hub", "way"]).withColumn("s", F.explode(delta)).drop("sh_own", "sh_hub", "way")
+    each = members.join(own, "id").join(hub, "hub").withColumn("s", F.explode(delta)).drop("sh_own", "sh_hub")
     each = work.put(each, "deltas")
     rarity = each.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > 1)
     # shingles that no other delta has are the rarest of all, so they count among the first
@@ -353,12 +342,10 @@ def _roots(tables: DataFrame, bound: DataFrame, sets: DataFrame, percent: int, w
     open_ = mixed(roots)
     # 6. tables that still hold several components
     may = _may_link(percent)
-    across = _pairs(open_, ["key"], may & (F.col("hub_a") != F.col("hub_b")))
-    close = _mixed(open_.drop("main").where(F.col("delta") <= _most_apart(percent)), ["key"])
-    beside = _pairs(close, ["key"], may & (F.col("hub_a") == F.col("hub_b")) & _near_hub(percent))
+    across = _pairs(open_, ["key"], may & ((F.col("hub_a") != F.col("hub_b")) | _near_hub(percent)))
     deltas = _deltas(open_.select("id", "n", "u", "root", "hub", "delta").distinct(), sets, percent, work)
     akin = _pairs(deltas, ["hub", "s"], may & _early(percent), ("rank",))
-    late = work.put(_common(across.union(beside).union(akin).distinct(), sets).where(_linked(percent)).select("a", "b"), "late")
+    late = work.put(_common(across.union(akin).distinct(), sets).where(_linked(percent)).select("a", "b"), "late")
     return connected(links.union(late), work) if late.limit(1).count() else roots
 
 
