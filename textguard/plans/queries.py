@@ -220,14 +220,6 @@ def docx_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docx.units_of(rows.mapInPandas(build_batches, "doc_id string, content binary")).drop("runs")
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of e-mail and IP in raw markup, by category, as its SQL has it; ``page_spans`` has all structured ones."""
-    units = text_units(_table(spark, sf_dir, "pages"), "page_id", "html")
-    found = detect(units, POLICY.only(("EMAIL", "IP")))
-    rows = found.select("doc_id", F.explode("spans").alias("s"))
-    return rows.groupBy(F.col("s.category").alias("category")).agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("doc_id").alias("documents"))
-
-
 def _page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all structured categories in raw markup, overlaps resolved."""
     found = detect(text_units(_table(spark, sf_dir, "pages"), "page_id", "html"), STRUCTURED_POLICY)
@@ -235,6 +227,11 @@ def _page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", F.col("s.category").alias("category"), F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.text").alias("value"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spans counted by category, with the pages that have them."""
+    return _page_spans(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("doc_id").alias("documents"))
+
+
 QUERIES = {
     "email_spans": _document_spans("EMAIL"),
     "phone_spans": _document_spans("PHONE"),

@@ -97,17 +97,29 @@ def _split_spans(pattern: str, table: str = "documents", key: str = "doc_id", te
     WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
 
 
-_EMAIL = f"SELECT doc_id, span_start, span_end, value FROM ({_split_spans('[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}')})"
-_IP = f"SELECT doc_id, span_start, span_end, value FROM ({_split_spans(r'\b(?:[0-9]{1,3}[.]){3}[0-9]{1,3}\b')}) WHERE list_max(list_transform(string_split(value, '.'), lambda o: o::INTEGER)) <= 255"
+def _email(*of: str) -> str:
+    return f"SELECT doc_id, span_start, span_end, value FROM ({_split_spans('[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', *of)})"
+
+
+def _ip(*of: str) -> str:
+    return f"SELECT doc_id, span_start, span_end, value FROM ({_split_spans(r'\b(?:[0-9]{1,3}[.]){3}[0-9]{1,3}\b', *of)}) WHERE list_max(list_transform(string_split(value, '.'), lambda o: o::INTEGER)) <= 255"
+
+
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(d, length(d) - i + 1, 1)::INTEGER ELSE (substr(d, length(d) - i + 1, 1)::INTEGER * 2) - CASE WHEN substr(d, length(d) - i + 1, 1)::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
-_CARD = f"""SELECT doc_id, span_start, (span_start + length(rtrim(value, ' -')))::INTEGER AS span_end, rtrim(value, ' -') AS value
-FROM (SELECT *, {_DIGITS.format('value')} AS d FROM ({_split_spans(r'\b(?:[0-9][ -]?){13,16}\b')})) WHERE length(d) BETWEEN 13 AND 16 AND {_LUHN}"""
-_PHONE = rf"""
+
+
+def _card(*of: str) -> str:
+    return f"""SELECT doc_id, span_start, (span_start + length(rtrim(value, ' -')))::INTEGER AS span_end, rtrim(value, ' -') AS value
+FROM (SELECT *, {_DIGITS.format('value')} AS d FROM ({_split_spans(r'\b(?:[0-9][ -]?){13,16}\b', *of)})) WHERE length(d) BETWEEN 13 AND 16 AND {_LUHN}"""
+
+
+def _phone(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    return rf"""
 SELECT doc_id, (s + length(v) - length(ltrim(v, ' -')))::INTEGER AS span_start, (s + length(rtrim(v, ' -')))::INTEGER AS span_end, trim(v, ' -') AS value
 FROM (SELECT *, {_DIGITS.format('v')} AS d, lower(substr(text, greatest(s - 1, 1)::INTEGER, least(s, 2)::INTEGER)) AS before, lower(substr(text, e + 1, 12)) AS after FROM (
   WITH RECURSIVE starts AS MATERIALIZED (
     SELECT doc_id, text, p - 1 AS s, regexp_extract(substr(text, p, 80), '^((?:\+\s?)?(?:91[\s-]?|0)?(?:\(?[0-9]{{2,5}}\)?[\s-]?)?[0-9]{{3,5}}[\s-]?[0-9]{{3,6}})(?:[^0-9]|$)', 1) AS v
-    FROM (SELECT doc_id::VARCHAR AS doc_id, text, unnest(range(1, length(text) + 1)) AS p FROM documents WHERE regexp_matches(text, '[0-9]{{3}}'))
+    FROM (SELECT {key}::VARCHAR AS doc_id, {text} AS text, unnest(range(1, length({text}) + 1)) AS p FROM {table} WHERE regexp_matches({text}, '[0-9]{{3}}'))
     WHERE substr(text, p, 1) IN ('+', '(', '0', '1', '2', '3', '4', '5', '6', '7', '8', '9') AND (p = 1 OR NOT regexp_matches(substr(text, p - 1, 1), '[0-9,.]'))),
   found AS MATERIALIZED (SELECT doc_id, text, s, v, s + length(v) AS e FROM starts WHERE v <> ''),
   chain AS (
@@ -118,7 +130,27 @@ FROM (SELECT *, {_DIGITS.format('v')} AS d, lower(substr(text, greatest(s - 1, 1
 WHERE length(d) BETWEEN 10 AND 13 AND NOT contains(before, '₹') AND NOT contains(before, 'rs') AND NOT regexp_matches(after, '^\s*(million|billion|crore|lakh|%|per cent)')
   AND ((length(d) = 10 AND regexp_matches(d, '^[6-9]')) OR (starts_with(d, '91') AND length(d) IN (11, 12)) OR starts_with(trim(v), '+') OR (regexp_matches(v, '[- ]') AND length(d) IN (10, 11)))
 """
-_DOCUMENT_SPANS = " UNION ALL ".join(f"SELECT doc_id, span_start, span_end, value, '{c}' AS category FROM ({q})" for c, q in (("EMAIL", _EMAIL), ("PHONE", _PHONE), ("CREDIT_CARD", _CARD), ("IP", _IP)))
+
+
+def _structured(*of: str) -> str:
+    """Spans of all structured categories; of different ones they may overlap."""
+    return " UNION ALL ".join(f"SELECT doc_id, span_start, span_end, value, '{c}' AS category FROM ({q(*of)})" for c, q in (("EMAIL", _email), ("PHONE", _phone), ("CREDIT_CARD", _card), ("IP", _ip)))
+
+
+_DOCUMENT_SPANS = _structured()
+# Structured categories share one priority: of overlapping spans the longest stays, then the first, then the first detector's.
+_PAGE_SPANS = f"""
+WITH RECURSIVE spans AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY span_start - span_end, span_start, list_position(['EMAIL', 'PHONE', 'CREDIT_CARD', 'IP'], category)) AS r
+  FROM ({_structured("pages", "page_id", "html")})),
+fold AS (
+  SELECT doc_id, 0::BIGINT AS r, []::STRUCT(span_start INTEGER, span_end INTEGER, value VARCHAR, category VARCHAR)[] AS kept FROM (SELECT DISTINCT doc_id FROM spans)
+  UNION ALL
+  SELECT f.doc_id, x.r, CASE WHEN len(list_filter(f.kept, lambda k: k.span_start < x.span_end AND x.span_start < k.span_end)) > 0 THEN f.kept
+                             ELSE list_append(f.kept, {{'span_start': x.span_start, 'span_end': x.span_end, 'value': x.value, 'category': x.category}}) END
+  FROM fold f JOIN spans x ON x.doc_id = f.doc_id AND x.r = f.r + 1)
+SELECT doc_id, k.span_start AS span_start, k.span_end AS span_end, k.value AS value, k.category AS category
+FROM (SELECT doc_id, unnest(kept) AS k FROM (SELECT doc_id, arg_max(kept, r) AS kept FROM fold GROUP BY doc_id))"""
 
 
 def _normal(category: str, value: str) -> str:
@@ -277,10 +309,10 @@ def oracles(settings: Settings) -> dict[str, str]:
     j AS (SELECT o.doc_id, string_agg(substr(d.text, (done + 1)::INTEGER, (span_start - done)::INTEGER) || replacement, '' ORDER BY span_start) AS head, max(span_end) AS tail FROM o JOIN documents d ON d.doc_id::VARCHAR = o.doc_id GROUP BY o.doc_id)
     SELECT d.doc_id::VARCHAR AS doc_id, CASE WHEN head IS NULL THEN text ELSE head || substr(text, (tail + 1)::INTEGER) END AS redacted_text FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id::VARCHAR"""
     return {
-        "email_spans": _EMAIL,
-        "phone_spans": _PHONE,
-        "card_spans": _CARD,
-        "ip_spans": _IP,
+        "email_spans": _email(),
+        "phone_spans": _phone(),
+        "card_spans": _card(),
+        "ip_spans": _ip(),
         "ssn_spans": _constructed("SSN"),
         "dob_spans": _constructed("DOB"),
         "company_spans": _constructed("COMPANY"),
@@ -312,7 +344,6 @@ def oracles(settings: Settings) -> dict[str, str]:
         "gold_build": _CUSTOMER_GOLD,
         "run_offsets": _RUNS,
         "run_rewrite": _REWRITTEN,
-        "page_categories": f"""SELECT category, count(*) AS spans, count(DISTINCT doc_id) AS documents FROM (
-            SELECT doc_id, 'EMAIL' AS category FROM ({_split_spans('[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', 'pages', 'page_id', 'html')})
-            UNION ALL SELECT doc_id, 'IP' FROM ({_split_spans(r'\b(?:[0-9]{1,3}[.]){3}[0-9]{1,3}\b', 'pages', 'page_id', 'html')}) WHERE list_max(list_transform(string_split(value, '.'), lambda o: o::INTEGER)) <= 255) GROUP BY category""",
+        "page_categories": f"SELECT category, count(*) AS spans, count(DISTINCT doc_id) AS documents FROM ({_PAGE_SPANS}) GROUP BY category",
+        "page_spans": _PAGE_SPANS,
     }
