@@ -169,6 +169,18 @@ def test_toxic_recall_by_language():
     assert sum(wrong) / len(wrong) < 0.02
 
 
+def test_training_texts_fit_the_bound(spark):
+    assert toxicity.within([5, 9, 1, 4], 10) == [0, 2, 3] and toxicity.within([11], 10) == [] and toxicity.within([], 10) == []
+    docs = spark.createDataFrame([(k, "w" * (1000 if k % 50 == 0 else 10), None, None, None) for k in range(400)], DOC)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    every, stands = toxicity.training_rows(docs, labels)
+    assert stands == (1.0, 1.0) and {len(t) for t, _ in every} == {10, 1000}
+    some, stands = toxicity.training_rows(docs, labels, most=900)
+    kept = [[len(t) for t, y in some if y == label] for label in (0, 1)]
+    assert all(set(k) == {10} and len(k) == 90 for k in kept)  # whole texts, as many as fit
+    assert stands == tuple(sum(y == label for _, y in every) / 90 for label in (0, 1))
+
+
 def test_threshold_does_not_depend_on_the_sampling():
     import numpy as np
 
