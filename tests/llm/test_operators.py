@@ -169,6 +169,25 @@ def test_toxic_recall_by_language():
     assert sum(wrong) / len(wrong) < 0.02
 
 
+def test_all_labelled_documents_are_learned_from(spark, monkeypatch):
+    """In shards, with no part left out: counts of all rows, and one rare word of many shards."""
+    rng = random.Random(7)
+    words = [f"w{''.join(rng.choices('abcdefgh', k=4))}" for _ in range(300)]
+    rows = [(k, "the " + " ".join([*rng.choices(words, k=30), *(["nastyword", "vileword"] if k % 8 == 0 else [])])) for k in range(6000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 8 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    learned = {k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 != 2}
+    assert {r["doc_id"] for r in toxicity.training_set(docs, labels).collect()} == learned
+    made, sizes, real = [], [], toxicity.fit_shards
+    monkeypatch.setattr(toxicity, "fit", lambda samples, *_: sizes.append(len(samples)))
+    toxicity.learn(docs, labels)
+    assert sizes == [len(learned)]
+    monkeypatch.setattr(toxicity, "SHARD_CHARS", 300_000)
+    monkeypatch.setattr(toxicity, "fit_shards", lambda kept, n: made.append(n) or real(kept, n))
+    got = toxicity.score_documents(docs, labels).where("held_out").collect()
+    assert made[0] > 2 and len(sizes) == 1
+    assert sum(r["predicted"] == int(r["doc_id"] % 8 == 0) for r in got) / len(got) > 0.97
+
+
 def test_training_texts_fit_the_bound(spark):
     assert toxicity.within([5, 9, 1, 4], 10) == [0, 2, 3] and toxicity.within([11], 10) == [] and toxicity.within([], 10) == []
     docs = spark.createDataFrame([(k, "w" * (1000 if k % 50 == 0 else 10), None, None, None) for k in range(400)], DOC)

@@ -7,9 +7,13 @@ logistic unit weighs the maxima. Scores are calibrated so that each language gro
 0.3. The group is read off the text's own function words.
 
 Thresholds come from scores of folds that the scoring model has not seen; the folds hold each group and
-class in proportion, and rows count by the inverse of their class's share in the sample, so that a threshold does
-not move with the size of the table. A group with few positive rows leans on the threshold of all. The model
-that scores is then trained on all sampled rows.
+class in proportion. A group with few positive rows leans on the threshold of all. The model that scores is then trained
+on all labelled rows.
+
+All labelled rows outside the held-out fold are learned from. As many as one shard holds are trained on in one place. Of
+more, document counts of all rows give the words' first embeddings; from there each shard trains on its own rows, and the
+means of the shards' models, an embedding's weighted by the documents that moved it, are the models. Thresholds then come
+from the fold models' scores of all rows, counted by steps of 1 / GRID.
 
 Defined results: null and empty texts have empty maxima and score by the bias alone; very long texts are scored
 whole, in blocks; without labelled rows of both classes every score is 0; repeated rows are scored each;
@@ -29,7 +33,9 @@ from textguard.llm import memory
 from textguard.llm.common import doc_crc, materialize, small_batches
 from textguard.llm.lexicon import GROUPS, LETTERS, language_group
 
-#: Bounds of the training sample, for each class: documents, and code points of their whole texts, which the driver holds.
+#: Code points of training texts in a shard, about; the steps of a logit in which thresholds are sought; embeddings in one exchanged block.
+SHARD_CHARS, GRID, BLOCK_ROWS = 6_000_000, 256, 1024
+#: Bounds of ``training_rows``, for each class: documents, and code points of their whole texts. Queries learn from all rows.
 TRAIN_DOCS, TRAIN_CHARS = 1500, 1 << 24
 #: Rows of the embedding table, its width, filter widths, filters of each width.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 20, 8, (1, 2, 3), 6
@@ -132,10 +138,7 @@ def fit(samples: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0
     if {y for _, y in samples} != {0, 1}:
         return None
     words = [LETTERS.findall(t.lower()) for t, _ in samples]
-    known = {w: rows_of(w) for ws in words for w in set(ws)}
-    # rows of every word, filled up with the row that stays zero
-    width = 1 + len(BEGINNINGS)
-    rows = [np.array([(known[w] + [BUCKETS] * width)[:width] for w in ws], np.int64).reshape(-1, width) for ws in words]
+    rows = word_rows(words)
     truth = np.array([y for _, y in samples])
     groups = np.array([language_group(ws) for ws in words])
     fold, met = np.zeros(len(samples), np.int64), {}
@@ -149,32 +152,67 @@ def fit(samples: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0
         raw[held] = [logit(model, lambda a, b, r=rows[k]: full[r[a:b]].sum(axis=1), len(rows[k])) for k in held]
     model = _train(rows, truth, np.arange(len(samples)))
     counts = np.where(truth == 1, weights[1], weights[0])
+    calibrate(model, raw, truth, groups, counts, np.ones(len(raw)))
+    return model
+
+
+def word_rows(words: list[list[str]]) -> list:
+    """For each text, the table's rows of every word, filled up with the row that stays zero."""
+    import numpy as np
+
+    known = {w: rows_of(w) for ws in words for w in set(ws)}
+    width = 1 + len(BEGINNINGS)
+    return [np.array([(known[w] + [BUCKETS] * width)[:width] for w in ws], np.int64).reshape(-1, width) for ws in words]
+
+
+def calibrate(model: Cnn, raw, truth, groups, counts, documents) -> None:
+    """Set the thresholds; a row stands for ``documents`` learned ones, and counts as ``counts``."""
     overall = best_threshold(raw, truth, counts)
     for g in range(len(GROUPS)):
-        own, n = groups == g, int(truth[groups == g].sum())
-        lean = n / (n + LEAN) if 0 < n < own.sum() else 0.0
+        own = groups == g
+        n, size = int((truth * documents)[own].sum()), int(documents[own].sum())
+        lean = n / (n + LEAN) if 0 < n < size else 0.0
         model.thresholds[g] = lean * best_threshold(raw[own], truth[own], counts[own]) + (1 - lean) * overall if lean else overall
-    return model
 
 
-def _train(rows: list, truth, chosen) -> Cnn:
-    """Adagrad over the chosen samples, one at a time."""
+def document_counts(rows: list, truth, chosen):
+    """By table row, the documents of either class that have it."""
     import numpy as np
 
-    rng = np.random.default_rng(SEED)
-    # words of few documents stay at zero, as unseen ones do: nothing is learned by heart
     pos, neg = np.zeros(BUCKETS + 1, np.int32), np.zeros(BUCKETS + 1, np.int32)
     for k in chosen:
         (pos if truth[k] else neg)[np.unique(rows[k])] += 1
+    return pos, neg
+
+
+def _start(rng, pos, neg, n_pos: int, n_neg: int):
+    """Rows that get an embedding, and their first embeddings; the one after the last is zero."""
+    import numpy as np
+
+    # words of few documents stay at zero, as unseen ones do: nothing is learned by heart
     seen = np.flatnonzero((pos + neg)[:BUCKETS] >= MIN_DOCS)
-    place = np.full(BUCKETS + 1, len(seen), np.int64)  # the last row is zero and stays so
-    place[seen] = np.arange(len(seen))
     table = np.zeros((len(seen) + 1, DIM), np.float32)
     table[:-1] = rng.standard_normal((len(seen), DIM)) * 0.02
-    n_pos = max(1, int(truth[chosen].sum()))
-    n_neg = max(1, len(chosen) - n_pos)
     odds = np.log((pos[seen] + 0.5) / (n_pos + 1)) - np.log((neg[seen] + 0.5) / (n_neg + 1))
     table[:-1, 0] = odds * (pos[seen] + neg[seen]) / (pos[seen] + neg[seen] + SHRINK) / 4
+    return seen, table
+
+
+def _train(rows: list, truth, chosen, whole=None) -> Cnn:
+    """Adagrad over the chosen samples, one at a time.
+
+    ``whole``: document counts by table row and numbers of documents of either class, where the chosen are a shard of more.
+    """
+    import numpy as np
+
+    rng = np.random.default_rng(SEED)
+    if whole is None:
+        n_pos = int(truth[chosen].sum())
+        whole = (*document_counts(rows, truth, chosen), n_pos, len(chosen) - n_pos)
+    n_pos, n_neg = max(1, whole[2]), max(1, whole[3])
+    seen, table = _start(rng, whole[0], whole[1], n_pos, n_neg)
+    place = np.full(BUCKETS + 1, len(seen), np.int64)  # the last row is zero and stays so
+    place[seen] = np.arange(len(seen))
     grads = np.full(len(seen) + 1, 1e-2, np.float32)
     filters = [(rng.standard_normal((w, DIM, FILTERS)) * 0.2).astype(np.float32) for w in WIDTHS]
     for f in filters:  # half of the filters start out looking for words of the positive class
@@ -294,7 +332,7 @@ def within(lengths: list[int], most: int) -> list[int]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, most: int = TRAIN_CHARS) -> tuple[list[tuple[str, int]], tuple[float, float]]:
-    """Labelled documents outside the held-out fold, and what a row of class 0 and 1 stands for.
+    """A bounded part of the labelled documents outside the held-out fold, and what a row of class 0 and 1 stands for.
 
     Of each class at most about ``bound``, chosen by a hash of the id, and at most ``most`` code points of whole texts.
     """
@@ -321,11 +359,179 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS, m
     return [(r["text"], int(r["toxic"])) for r in rows.toLocalIterator()], (stands[0], stands[1])
 
 
+def training_set(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic, fold) of all labelled documents outside the held-out fold; one text of each id."""
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.pmod(doc_crc(), F.lit(4)) != 2))
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.pmod(doc_crc(), F.lit(4)) != 2)).join(usable, "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic"))
+    return one.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(FOLDS)).cast("int"))
+
+
+def _counted(batches):
+    """Documents of each fold and class by table row."""
+    import numpy as np
+    import pyarrow as pa
+
+    met = np.zeros((BUCKETS + 1, 2 * FOLDS), np.int32)
+    for batch in batches:
+        rows = word_rows([LETTERS.findall(t.lower()) for t in batch.column("text").to_pylist()])
+        for r, f, y in zip(rows, batch.column("fold").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            met[np.unique(r), 2 * f + y] += 1
+    at = np.flatnonzero(met[:BUCKETS].any(axis=1))
+    for k in range(0, len(at), 10_000):
+        own = at[k : k + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(met[own, c], pa.int64()) for c in range(2 * FOLDS))], names=["at", *(f"n{c}" for c in range(2 * FOLDS))])
+
+
+def _whole(shared, model: int):
+    """What ``_train`` needs of all rows for the model that leaves out fold ``model`` (``FOLDS``: none)."""
+    import numpy as np
+
+    at, counts, sizes = shared
+    whole = []
+    for y in (1, 0):
+        found = np.zeros(BUCKETS + 1, np.int32)
+        found[at] = sum(counts[:, 2 * f + y] for f in range(FOLDS) if f != model)
+        whole.append(found)
+    return (*whole, *(sum(sizes[2 * f + y] for f in range(FOLDS) if f != model) for y in (1, 0)))
+
+
+def _dense(model: Cnn):
+    import numpy as np
+
+    return np.concatenate([*(f.ravel() for f in model.filters), model.biases, model.weights, [model.bias]]).astype(np.float64)
+
+
+def _with_dense(model: Cnn, flat) -> None:
+    import numpy as np
+
+    at, flat = 0, np.asarray(flat)
+    for b, f in enumerate(model.filters):
+        model.filters[b] = flat[at : at + f.size].reshape(f.shape).astype(np.float32)
+        at += f.size
+    n = len(model.biases)
+    model.biases, model.weights, model.bias = flat[at : at + n].astype(np.float32), flat[at + n : at + 2 * n].astype(np.float32), float(flat[-1])
+
+
+def _trained(shipped):
+    """A shard's models: how far they moved, in blocks, weighted; place -1 has all but the embeddings."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        memory.claim("toxicity")
+        table = table.sort_by("doc_id")
+        shard = table.column("shard")[0].as_py()
+        truth, fold = np.array(table.column("toxic").to_pylist()), np.array(table.column("fold").to_pylist())
+        rows = word_rows([LETTERS.findall(t.lower()) for t in table.column("text").to_pylist()])
+        out = []
+        for m in range(FOLDS + 1):
+            chosen = np.flatnonzero(fold != m)
+            if not len(chosen):
+                continue
+            whole = _whole(shipped.value, m)
+            _, first = _start(np.random.default_rng(SEED), *whole[:2], max(1, whole[2]), max(1, whole[3]))
+            model = _train(rows, truth, chosen, whole)
+            weight = sum(document_counts(rows, truth, chosen))[model.rows].astype(np.float32)[:, None]
+            moved = np.hstack([(model.values - first[:-1]) * weight, weight])
+            out += [(m, k // BLOCK_ROWS, shard, moved[k : k + BLOCK_ROWS].tobytes()) for k in range(0, len(moved), BLOCK_ROWS)]
+            out.append((m, -1, shard, np.append(_dense(model) * len(chosen), len(chosen)).tobytes()))
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["model", "place", "shard", "moved"])
+
+    return run
+
+
+def _summed(table):
+    """The shards' blocks of one place added up, in the order of the shards."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = table.sort_by("shard")
+    place = table.column("place")[0].as_py()
+    kind, total = (np.float64 if place < 0 else np.float32), 0.0
+    for block in table.column("moved"):
+        total = total + np.frombuffer(block.as_py(), kind).astype(np.float64)
+    return pa.table([table.column("model").slice(0, 1), table.column("place").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["model", "place", "moved"])
+
+
+def _judged(shipped):
+    """Group, class and logit, in steps, of every row by the model that has not seen its fold."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        memory.claim("toxicity")
+        models = shipped.value
+        vectors = [_Vectors(m.table()) for m in models]
+        for batch in batches:
+            words = [LETTERS.findall(t.lower()) for t in batch.column("text").to_pylist()]
+            raw = [logit(models[f], lambda a, b, f=f, ws=ws: vectors[f].embedded(ws[a:b]), len(ws)) for f, ws in zip(batch.column("fold").to_pylist(), words, strict=True)]
+            steps = np.rint(np.clip(raw, -30, 30) * GRID)
+            yield pa.RecordBatch.from_arrays([pa.array([language_group(ws) for ws in words], pa.int32()), batch.column("toxic"), pa.array(steps.astype(np.int64), pa.int32())], names=["group", "toxic", "step"])
+
+    return run
+
+
+def fit_shards(kept: DataFrame, shards: int) -> Cnn:
+    """Train on all rows of ``kept`` (doc_id, text, toxic, fold), in shards, and calibrate."""
+    import numpy as np
+
+    spark = kept.sparkSession
+    names = [f"n{c}" for c in range(2 * FOLDS)]
+    counted = kept.mapInArrow(_counted, ", ".join(f"{n} long" for n in ["at", *names])).groupBy("at").agg(*[F.sum(n).alias(n) for n in names])
+    counted = counted.where(sum((F.col(n) for n in names), F.lit(0)) >= MIN_DOCS).toArrow()
+    found = np.stack([counted.column(n).to_numpy() for n in names], axis=1).astype(np.int32)
+    sizes = [0] * (2 * FOLDS)
+    for r in kept.groupBy("fold", "toxic").count().collect():
+        sizes[2 * r["fold"] + r["toxic"]] = r["count"]
+    shared = (counted.column("at").to_numpy(), found, sizes)
+    shipped = spark.sparkContext.broadcast(shared)
+    dealt = kept.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), F.col("doc_id").cast("string")), F.lit(shards)).cast("int")).repartition(4 * shards, "shard")
+    moved = dealt.groupBy("shard").applyInArrow(_trained(shipped), "model int, place int, shard int, moved binary")
+    total = moved.groupBy("model", "place").applyInArrow(_summed, "model int, place int, moved binary").toArrow()
+    blocks = {(m, p): np.frombuffer(b, np.float64) for m, p, b in zip(*(total.column(c).to_pylist() for c in ("model", "place", "moved")), strict=True)}
+    models = []
+    for m in range(FOLDS + 1):
+        model = _train([], np.zeros(0, np.int64), np.zeros(0, np.int64), _whole(shared, m))  # where every shard began
+        if (m, -1) in blocks:
+            _with_dense(model, blocks[m, -1][:-1] / blocks[m, -1][-1])
+        for k in range(0, len(model.values), BLOCK_ROWS):
+            if (m, k // BLOCK_ROWS) in blocks:
+                block = blocks[m, k // BLOCK_ROWS].reshape(-1, DIM + 1)
+                model.values[k : k + BLOCK_ROWS] += (block[:, :-1] / np.maximum(block[:, -1:], 1)).astype(np.float32)
+        models.append(model)
+    shipped.destroy()
+    judges = spark.sparkContext.broadcast(models[:FOLDS])
+    steps = kept.mapInArrow(_judged(judges), "group int, toxic int, step int").groupBy("group", "toxic", "step").count()
+    # clean rows first among equal logits: a threshold never parts those
+    counts = steps.orderBy("toxic", "group", "step").toArrow()
+    judges.destroy()
+    group, truth, step, n = (counts.column(c).to_numpy() for c in ("group", "toxic", "step", "count"))
+    calibrate(models[FOLDS], step / GRID, truth, group, n.astype(np.float64), n)
+    return models[FOLDS]
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Cnn | None:
+    """The model of all labelled documents outside the held-out fold; None without both classes."""
+    kept = materialize(training_set(docs, labels), "toxic-texts")
+    size = kept.agg(F.sum(F.length("text")).alias("chars"), F.count_distinct("toxic").alias("classes")).first()
+    if size["classes"] < 2:
+        return None
+    shards = -(-size["chars"] // SHARD_CHARS)
+    if shards > 1:
+        return fit_shards(kept, shards)
+    return fit([(r["text"], r["toxic"]) for r in kept.orderBy("doc_id").toLocalIterator()])
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score and prediction of every document; ``held_out`` marks the fold never learned from."""
     spark = docs.sparkSession
     small_batches(spark)
-    model = fit(*training_rows(docs, labels))
+    model = learn(docs, labels)
     shipped = spark.sparkContext.broadcast(model)
     del model
     memory.release()
