@@ -4,12 +4,12 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from textguard.llm import bpe, decontaminate, langid, minhash, orc_tokens, packing, queries, secrets, sharding, spotsigs, toxicity, urls
+from textguard.llm import bpe, decontaminate, langid, lexicon, minhash, orc_tokens, packing, queries, secrets, sharding, spotsigs, toxicity, urls
 from textguard.llm.common import Scratch, table
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -188,6 +188,66 @@ def test_all_labelled_documents_are_learned_from(spark, monkeypatch):
     assert sum(r["predicted"] == int(r["doc_id"] % 8 == 0) for r in got) / len(got) > 0.97
 
 
+def test_shards_train_once_on_rows_of_one_fold(spark, monkeypatch):
+    """Each labelled document is trained on by one model; the model that judges a fold does not depend on that fold's labels."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, trained, real = random.Random(5), [], toxicity._train
+    rows = [(k, " ".join(rng.choices("alpha beta gamma delta omega kappa".split(), k=12)) + (" foul" if k % 3 == 0 else ""), int(k % 3 == 0 or k % 7 == 0), k // 20) for k in range(60)]
+    shared = (np.arange(toxicity.BUCKETS), np.ones((toxicity.BUCKETS, 2 * toxicity.FOLDS), np.int32), [10] * 2 * toxicity.FOLDS)
+    monkeypatch.setattr(toxicity, "_train", lambda rows, truth, chosen, *more: trained.append(len(chosen)) or real(rows, truth, chosen, *more))
+    for f in range(toxicity.FOLDS):
+        own = [(*r, f) for r in rows if r[3] == f]
+        toxicity._trained(SimpleNamespace(value=shared))(pa.table([pa.array(c, t) for c, t in zip(zip(*own, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "text", "toxic", "fold", "shard"]))
+    assert sum(trained) == len(rows), trained
+    models, mean = [], toxicity._mean
+    monkeypatch.setattr(toxicity, "_mean", lambda *given: models.append(mean(*given)) or models[-1])
+    for flip in (0, 1):
+        kept = spark.createDataFrame([(k, t, y ^ (flip and f == 0), f) for k, t, y, f in rows], "doc_id long, text string, toxic int, fold int")
+        toxicity.fit_shards(kept, 2)
+    once, twice = models[: toxicity.FOLDS + 1], models[toxicity.FOLDS + 1 :]
+    same = [np.array_equal(a.values, b.values) and np.array_equal(a.rows, b.rows) and np.array_equal(a.weights, b.weights) and a.bias == b.bias for a, b in zip(once, twice, strict=True)]
+    assert same == [True, False, False, False]
+    assert [len(m.rows) > 0 for m in once] == [True] * (toxicity.FOLDS + 1)
+
+
+def test_words_are_those_of_the_pattern():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for text in ["", " ", every, "A\x85b\xa0c\x1cd_e²f3g", "İstanbul SS ß ÿ µ ª", "\ud800a", *map(chr, range(0x250))]:
+        for t in (text, f"Ab{text}cD {text}"):
+            assert lexicon.letter_words(t) == lexicon.LETTERS.findall(t.lower())
+
+
+def test_numbered_words_count_and_score_as_plain_ones(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng, draw = np.random.default_rng(3), random.Random(3)
+    words = ["the", "der", "les", "los", "ungewöhnlich", "straßenbahn", "漢字", *("".join(draw.choices("abcdeé", k=draw.randint(1, 9))) for _ in range(400))]
+    texts = [" ".join(draw.choices(words, k=n)) for n in (0, 1, 2, 3, 49, 50, 51, 52, 53, 400, 30, 30, 30)]
+    full = np.vstack([rng.normal(size=(toxicity.BUCKETS, 2 * toxicity.DIM)), np.zeros((1, 2 * toxicity.DIM))]).astype(np.float32)
+    filters, biases = [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], rng.normal(size=toxicity.FILTERS * len(toxicity.WIDTHS))
+    model = toxicity.Cnn([], [], filters, biases, rng.normal(size=len(biases)), 0.0, [])
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", len(lexicon.VOTES) + 60)
+    counted = pa.table({"text": texts, "fold": [k % 3 for k in range(len(texts))], "toxic": [k % 2 for k in range(len(texts))]})
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 50)
+    vectors, expected = toxicity._Vectors(full), Counter()
+    for k, text in enumerate(texts):
+        own = lexicon.LETTERS.findall(text.lower())
+        parts = [[w, *(f"{w[:n]}*" for n in toxicity.BEGINNINGS if len(w) > n)] for w in own]
+        rows = [[zlib.crc32(x.encode()) % toxicity.BUCKETS for x in p] for p in parts]
+        expected.update((r, 2 * (k % 3) + k % 2) for r in {r for p in rows for r in p})
+        for place in (0, 1):
+            plain = np.array([full[p, place * toxicity.DIM : (place + 1) * toxicity.DIM].sum(axis=0) for p in rows]).reshape(-1, toxicity.DIM)
+            raw, group = vectors.read(model, text, place)
+            assert abs(raw - toxicity.logit(model, lambda a, b, e=plain: e[a:b], len(own))) < 1e-4 and group == lexicon.language_group(own)
+    got = {(r["at"], c): r[f"n{c}"] for b in toxicity._counted(counted.to_batches(4)) for r in b.to_pylist() for c in range(2 * toxicity.FOLDS) if r[f"n{c}"]}
+    assert got == dict(expected)
+
+
 def test_training_texts_fit_the_bound(spark):
     assert toxicity.within([5, 9, 1, 4], 10) == [0, 2, 3] and toxicity.within([11], 10) == [] and toxicity.within([], 10) == []
     docs = spark.createDataFrame([(k, "w" * (1000 if k % 50 == 0 else 10), None, None, None) for k in range(400)], DOC)

@@ -17,6 +17,17 @@ ANCHORS = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
 VOTES = {w: tuple(i for i, words in enumerate(FUNCTION_WORDS.values()) if w in words) for w in ANCHORS}
 GROUPS = (*FUNCTION_WORDS, "other")
 LETTERS = re.compile(r"[^\W\d_]+")
+#: By Latin-1 byte: what stays of it in a lower-cased text when words are taken.
+_BYTES = bytes(k if LETTERS.match(chr(k)) else 32 for k in range(256))
+
+
+def letter_words(text: str) -> list[str]:
+    """``LETTERS.findall`` of the lower-cased text; without a scan by pattern if Latin-1 can hold that."""
+    text = text.lower()
+    try:
+        return text.encode("latin-1").translate(_BYTES).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return LETTERS.findall(text)
 
 
 def language_group(words: list[str]) -> int:

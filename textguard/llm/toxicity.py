@@ -11,9 +11,10 @@ class in proportion. A group with few positive rows leans on the threshold of al
 on all labelled rows.
 
 All labelled rows outside the held-out fold are learned from. As many as one shard holds are trained on in one place. Of
-more, document counts of all rows give the words' first embeddings; from there each shard trains on its own rows, and the
-means of the shards' models, an embedding's weighted by the documents that moved it, are the models. Thresholds then come
-from the fold models' scores of all rows, counted by steps of 1 / GRID.
+more, each shard holds rows of one fold, whose document counts give the words' first embeddings; from there it trains once. The
+model is the mean of all shards: embeddings begin at the counts of all rows and move as they did in the shards, weighted by the
+documents that have them. The means without a fold's shards and counts have not seen that fold; thresholds come from their
+scores of all rows, counted by steps of 1 / GRID.
 
 Defined results: null and empty texts have empty maxima and score by the bias alone; very long texts are scored
 whole, in blocks; without labelled rows of both classes every score is 0; repeated rows are scored each;
@@ -24,6 +25,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from textguard.llm import memory
 from textguard.llm.common import doc_crc, materialize, small_batches
-from textguard.llm.lexicon import GROUPS, LETTERS, language_group
+from textguard.llm.lexicon import GROUPS, VOTES, language_group, letter_words
 
 #: Code points of training texts in a shard, about; the steps of a logit in which thresholds are sought; embeddings in one exchanged block.
 SHARD_CHARS, GRID, BLOCK_ROWS = 6_000_000, 256, 1024
@@ -56,36 +60,87 @@ CACHE_WORDS = 400_000
 BLOCK_WORDS = 50_000
 
 
-def rows_of(word: str) -> list[int]:
-    """Rows of the embedding table for a lower-case word and its beginnings."""
+def rows_of(words: list[str]):
+    """Rows of the embedding table for lower-case words and their beginnings, filled up with the row that stays zero."""
     import zlib
 
-    parts = [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for x in parts]
+    import numpy as np
 
+    rows = np.full((len(words), 1 + len(BEGINNINGS)), BUCKETS, np.int64)
+    rows[:, 0] = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words]
+    for j, n in enumerate(BEGINNINGS, 1):
+        at = [k for k, w in enumerate(words) if len(w) > n]
+        rows[at, j] = [zlib.crc32(f"{words[k][:n]}*".encode("utf-8", "surrogatepass")) for k in at]
+        rows[at, j] &= BUCKETS - 1
+    rows[:, 0] &= BUCKETS - 1
+    return rows
 
-class _Vectors(dict):
-    """Row of ``table`` with a word's embedding."""
 
-    def __init__(self, full):
-        import numpy as np
+class _Numbers(defaultdict):
+    """Numbers of words, in order of appearance; those that vote for language groups come first."""
 
+    def __init__(self):
         super().__init__()
-        self.full, self.table = full, np.zeros((CACHE_WORDS, DIM), np.float32)
+        self.renew()
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        self.table[at] = self.full[rows_of(word)].sum(axis=0)
-        self[word] = at
-        return at
+    def renew(self) -> None:
+        """Forget all words but the voters."""
+        self.clear()
+        self.default_factory = itertools.count().__next__
+        self.filled = 0  # words whose rows were asked for
+        for w in VOTES:
+            self[w]
 
-    def embedded(self, words: list[str]):
-        """Embeddings of a block of words."""
+    def of(self, words):
         import numpy as np
 
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def new(self):
+        """Rows of the words that came since the last call."""
+        words = list(itertools.islice(reversed(self), len(self) - self.filled))[::-1]
+        self.filled = len(self)
+        return rows_of(words)
+
+
+class _Vectors(_Numbers):
+    """Row of ``table`` with a word's embedding; ``full`` may hold those of several models side by side."""
+
+    def __init__(self, full):
+        import numpy as np
+
+        super().__init__()
+        self.full, self.models, self.table = full, full.shape[1] // DIM, np.zeros((CACHE_WORDS, full.shape[1]), np.float32)
+        self.votes = np.array([[g in v for g in range(len(GROUPS) - 1)] for v in VOTES.values()], np.int64)
+
+    def numbers(self, words: list[str]):
+        """Rows of a block of words, valid until the next call."""
         if len(self) + len(words) > CACHE_WORDS:
-            self.clear()
-        return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
+            self.renew()
+        found, at = self.of(words), self.filled
+        if at < len(self):
+            rows = self.new()
+            self.table[at : len(self)] = sum((self.full[rows[:, j]] for j in range(1, rows.shape[1])), self.full[rows[:, 0]])
+        return found
+
+    def embedded(self, numbers, model: int = 0):
+        """Embeddings of numbered words."""
+        return self.table.reshape(-1, DIM).take(numbers * self.models + model if self.models > 1 else numbers, axis=0)
+
+    def group(self, numbers) -> int:
+        """``language_group`` of numbered words."""
+        import numpy as np
+
+        counts = np.bincount(numbers[numbers < len(VOTES)], minlength=len(VOTES)) @ self.votes
+        return int(counts.argmax()) if counts.any() else len(GROUPS) - 1
+
+    def read(self, model: Cnn, text: str | None, place: int = 0) -> tuple[float, int]:
+        """Logit by ``model``, whose embeddings are at ``place``, and language group of a whole text."""
+        words = letter_words(text or "")
+        if len(words) > BLOCK_WORDS:
+            return logit(model, lambda a, b: self.embedded(self.numbers(words[a:b]), place), len(words)), language_group(words)
+        numbers = self.numbers(words)
+        return logit(model, lambda a, b: self.embedded(numbers[a:b], place), len(words)), self.group(numbers)
 
 
 _WORKER: dict[str, _Vectors] = memory.keep("toxicity", {})
@@ -137,7 +192,7 @@ def fit(samples: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0
 
     if {y for _, y in samples} != {0, 1}:
         return None
-    words = [LETTERS.findall(t.lower()) for t, _ in samples]
+    words = [letter_words(t) for t, _ in samples]
     rows = word_rows(words)
     truth = np.array([y for _, y in samples])
     groups = np.array([language_group(ws) for ws in words])
@@ -156,13 +211,12 @@ def fit(samples: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0
     return model
 
 
-def word_rows(words: list[list[str]]) -> list:
+def word_rows(words: Iterable[list[str]]) -> list:
     """For each text, the table's rows of every word, filled up with the row that stays zero."""
-    import numpy as np
-
-    known = {w: rows_of(w) for ws in words for w in set(ws)}
-    width = 1 + len(BEGINNINGS)
-    return [np.array([(known[w] + [BUCKETS] * width)[:width] for w in ws], np.int64).reshape(-1, width) for ws in words]
+    known = _Numbers()
+    numbers = [known.of(ws) for ws in words]
+    table = known.new()
+    return [table[n] for n in numbers]
 
 
 def calibrate(model: Cnn, raw, truth, groups, counts, documents) -> None:
@@ -181,36 +235,38 @@ def document_counts(rows: list, truth, chosen):
 
     pos, neg = np.zeros(BUCKETS + 1, np.int32), np.zeros(BUCKETS + 1, np.int32)
     for k in chosen:
-        (pos if truth[k] else neg)[np.unique(rows[k])] += 1
+        (pos if truth[k] else neg)[rows[k]] += 1  # a row that is met again is not counted again
     return pos, neg
 
 
 def _start(rng, pos, neg, n_pos: int, n_neg: int):
-    """Rows that get an embedding, and their first embeddings; the one after the last is zero."""
+    """First embeddings of rows with these document counts; after them one that is zero."""
     import numpy as np
 
-    # words of few documents stay at zero, as unseen ones do: nothing is learned by heart
-    seen = np.flatnonzero((pos + neg)[:BUCKETS] >= MIN_DOCS)
-    table = np.zeros((len(seen) + 1, DIM), np.float32)
-    table[:-1] = rng.standard_normal((len(seen), DIM)) * 0.02
-    odds = np.log((pos[seen] + 0.5) / (n_pos + 1)) - np.log((neg[seen] + 0.5) / (n_neg + 1))
-    table[:-1, 0] = odds * (pos[seen] + neg[seen]) / (pos[seen] + neg[seen] + SHRINK) / 4
-    return seen, table
+    table = np.zeros((len(pos) + 1, DIM), np.float32)
+    table[:-1] = rng.standard_normal((len(pos), DIM)) * 0.02
+    odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
+    table[:-1, 0] = odds * (pos + neg) / (pos + neg + SHRINK) / 4
+    return table
 
 
 def _train(rows: list, truth, chosen, whole=None) -> Cnn:
     """Adagrad over the chosen samples, one at a time.
 
-    ``whole``: document counts by table row and numbers of documents of either class, where the chosen are a shard of more.
+    ``whole``: rows that get an embedding, ascending, their document counts, and numbers of documents of either class, where the
+    chosen are a shard of more.
     """
     import numpy as np
 
     rng = np.random.default_rng(SEED)
     if whole is None:
         n_pos = int(truth[chosen].sum())
-        whole = (*document_counts(rows, truth, chosen), n_pos, len(chosen) - n_pos)
-    n_pos, n_neg = max(1, whole[2]), max(1, whole[3])
-    seen, table = _start(rng, whole[0], whole[1], n_pos, n_neg)
+        pos, neg = document_counts(rows, truth, chosen)
+        # words of few documents stay at zero, as unseen ones do: nothing is learned by heart
+        seen = np.flatnonzero((pos + neg)[:BUCKETS] >= MIN_DOCS)
+        whole = (seen, pos[seen], neg[seen], n_pos, len(chosen) - n_pos)
+    seen, n_pos, n_neg = whole[0], max(1, whole[3]), max(1, whole[4])
+    table = _start(rng, whole[1], whole[2], n_pos, n_neg)
     place = np.full(BUCKETS + 1, len(seen), np.int64)  # the last row is zero and stays so
     place[seen] = np.arange(len(seen))
     grads = np.full(len(seen) + 1, 1e-2, np.float32)
@@ -221,13 +277,15 @@ def _train(rows: list, truth, chosen, whole=None) -> Cnn:
     biases = np.full(FILTERS * len(WIDTHS), 0.05, np.float32)
     weights = (np.abs(rng.standard_normal(len(biases))) * 0.3).astype(np.float32)
     wsum, bias, bsum = np.full(len(weights), 1e-3, np.float32), 0.0, 1e-3
-    local = {k: place[rows[k]] for k in chosen if len(rows[k])}
+    local = {k: place[rows[k].T] for k in chosen if len(rows[k])}
     order = np.array(sorted(local))
     for _ in range(EPOCHS):
         rng.shuffle(order)
         for k in order:
             own, y = local[k], truth[k]
-            embedded = table[own].sum(axis=1)
+            embedded = table.take(own[0], axis=0)
+            for more in own[1:]:
+                embedded += table.take(more, axis=0)
             top, where = maxima(embedded, filters, biases)
             p = 1 / (1 + np.exp(-np.clip(top @ weights + bias, -30, 30)))
             g = float(p - y) * (1.0 if y else min(1.0, n_pos / n_neg))
@@ -244,14 +302,14 @@ def _train(rows: list, truth, chosen, whole=None) -> Cnn:
                 gf = gtop[b * FILTERS : (b + 1) * FILTERS]
                 for j in range(len(f)):
                     at = where[b] + j
-                    met = np.flatnonzero((gf != 0) & (at < len(own)))
+                    met = np.flatnonzero((gf != 0) & (at < own.shape[1]))
                     if not len(met):
                         continue
                     gk = gf[met, None] * embedded[at[met]]
                     ge = gf[met, None] * f[j][:, met].T
                     sums[b][j][:, met] += (gk * gk).T
                     f[j][:, met] -= 0.3 * RATE * (gk / np.sqrt(sums[b][j][:, met].T)).T
-                    for column in own[at[met]].T:
+                    for column in own[:, at[met]]:
                         live = column < len(seen)
                         r, ger = column[live], ge[live] + DECAY * table[column[live]]
                         np.add.at(grads, r, (ger * ger).sum(axis=1))
@@ -293,12 +351,8 @@ def calibrated(raw: float, threshold: float) -> float:
 
 def score_texts(model: Cnn, vectors: _Vectors, texts: list[str | None]) -> list[float]:
     """Calibrated score of each whole text."""
-    scores = []
-    for text in texts:
-        words = LETTERS.findall((text or "").lower())
-        raw = logit(model, lambda a, b, ws=words: vectors.embedded(ws[a:b]), len(words))
-        scores.append(calibrated(raw, model.thresholds[language_group(words)]))
-    return scores
+    found = [vectors.read(model, text) for text in texts]
+    return [calibrated(raw, model.thresholds[group]) for raw, group in found]
 
 
 def _score(shipped, token: str):
@@ -373,28 +427,36 @@ def _counted(batches):
     import numpy as np
     import pyarrow as pa
 
-    met = np.zeros((BUCKETS + 1, 2 * FOLDS), np.int32)
+    met, known, rows = np.zeros((BUCKETS + 1, 2 * FOLDS), np.int32), _Numbers(), np.zeros((CACHE_WORDS, 1 + len(BEGINNINGS)), np.int64)
     for batch in batches:
-        rows = word_rows([LETTERS.findall(t.lower()) for t in batch.column("text").to_pylist()])
-        for r, f, y in zip(rows, batch.column("fold").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            met[np.unique(r), 2 * f + y] += 1
+        for t, f, y in zip(*(batch.column(c).to_pylist() for c in ("text", "fold", "toxic")), strict=True):
+            words, own = list(set(letter_words(t))), []
+            for k in range(0, len(words), BLOCK_WORDS):
+                block = words[k : k + BLOCK_WORDS]
+                if len(known) + len(block) > CACHE_WORDS:
+                    known.renew()
+                found, at = known.of(block), known.filled
+                rows[at : len(known)] = known.new()
+                own.append(rows[found].ravel())
+            if own:
+                met[np.concatenate(own), 2 * f + y] += 1  # a row that is met again is not counted again
     at = np.flatnonzero(met[:BUCKETS].any(axis=1))
     for k in range(0, len(at), 10_000):
         own = at[k : k + 10_000]
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(met[own, c], pa.int64()) for c in range(2 * FOLDS))], names=["at", *(f"n{c}" for c in range(2 * FOLDS))])
 
 
-def _whole(shared, model: int):
-    """What ``_train`` needs of all rows for the model that leaves out fold ``model`` (``FOLDS``: none)."""
+def _whole(shared, folds: list[int]):
+    """What ``_train`` needs of all rows of these folds."""
+    at, counts, sizes = shared
+    return (at, *(sum(counts[:, 2 * f + y] for f in folds) for y in (1, 0)), *(sum(sizes[2 * f + y] for f in folds) for y in (1, 0)))
+
+
+def _first(whole):
+    """The embeddings that a shard of such rows begins with."""
     import numpy as np
 
-    at, counts, sizes = shared
-    whole = []
-    for y in (1, 0):
-        found = np.zeros(BUCKETS + 1, np.int32)
-        found[at] = sum(counts[:, 2 * f + y] for f in range(FOLDS) if f != model)
-        whole.append(found)
-    return (*whole, *(sum(sizes[2 * f + y] for f in range(FOLDS) if f != model) for y in (1, 0)))
+    return _start(np.random.default_rng(SEED), *whole[1:3], max(1, whole[3]), max(1, whole[4]))[:-1]
 
 
 def _dense(model: Cnn):
@@ -415,7 +477,7 @@ def _with_dense(model: Cnn, flat) -> None:
 
 
 def _trained(shipped):
-    """A shard's models: how far they moved, in blocks, weighted; place -1 has all but the embeddings."""
+    """A shard's model: how far embeddings moved, in blocks, weighted; place -1 has all else."""
 
     def run(table):
         import numpy as np
@@ -423,23 +485,16 @@ def _trained(shipped):
 
         memory.claim("toxicity")
         table = table.sort_by("doc_id")
-        shard = table.column("shard")[0].as_py()
-        truth, fold = np.array(table.column("toxic").to_pylist()), np.array(table.column("fold").to_pylist())
-        rows = word_rows([LETTERS.findall(t.lower()) for t in table.column("text").to_pylist()])
-        out = []
-        for m in range(FOLDS + 1):
-            chosen = np.flatnonzero(fold != m)
-            if not len(chosen):
-                continue
-            whole = _whole(shipped.value, m)
-            _, first = _start(np.random.default_rng(SEED), *whole[:2], max(1, whole[2]), max(1, whole[3]))
-            model = _train(rows, truth, chosen, whole)
-            weight = sum(document_counts(rows, truth, chosen))[model.rows].astype(np.float32)[:, None]
-            moved = np.hstack([(model.values - first[:-1]) * weight, weight])
-            out += [(m, k // BLOCK_ROWS, shard, moved[k : k + BLOCK_ROWS].tobytes()) for k in range(0, len(moved), BLOCK_ROWS)]
-            out.append((m, -1, shard, np.append(_dense(model) * len(chosen), len(chosen)).tobytes()))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["model", "place", "shard", "moved"])
+        shard, fold = table.column("shard")[0].as_py(), table.column("fold")[0].as_py()
+        truth, chosen = np.array(table.column("toxic").to_pylist()), np.arange(table.num_rows)
+        rows = word_rows(letter_words(t) for t in table.column("text").to_pylist())
+        whole = _whole(shipped.value, [fold])
+        model = _train(rows, truth, chosen, whole)
+        moved = (model.values - _first(whole)) * sum(document_counts(rows, truth, chosen))[model.rows].astype(np.float32)[:, None]
+        places = [k for k in range(0, len(moved), BLOCK_ROWS) if moved[k : k + BLOCK_ROWS].any()]
+        out = [(fold, k // BLOCK_ROWS, shard, moved[k : k + BLOCK_ROWS].tobytes()) for k in places]
+        out.append((fold, -1, shard, (_dense(model) * len(chosen)).tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["fold", "place", "shard", "moved"])
 
     return run
 
@@ -450,11 +505,10 @@ def _summed(table):
     import pyarrow as pa
 
     table = table.sort_by("shard")
-    place = table.column("place")[0].as_py()
-    kind, total = (np.float64 if place < 0 else np.float32), 0.0
+    kind, total = (np.float64 if table.column("place")[0].as_py() < 0 else np.float32), 0.0
     for block in table.column("moved"):
         total = total + np.frombuffer(block.as_py(), kind).astype(np.float64)
-    return pa.table([table.column("model").slice(0, 1), table.column("place").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["model", "place", "moved"])
+    return pa.table([table.column("fold").slice(0, 1), table.column("place").slice(0, 1), pa.array([total.astype(kind).tobytes()], pa.binary())], names=["fold", "place", "moved"])
 
 
 def _judged(shipped):
@@ -466,45 +520,66 @@ def _judged(shipped):
 
         memory.claim("toxicity")
         models = shipped.value
-        vectors = [_Vectors(m.table()) for m in models]
+        full = np.zeros((BUCKETS + 1, DIM * len(models)), np.float32)
+        for k, m in enumerate(models):
+            full[m.rows, DIM * k : DIM * (k + 1)] = m.values
+        vectors = _Vectors(full)
         for batch in batches:
-            words = [LETTERS.findall(t.lower()) for t in batch.column("text").to_pylist()]
-            raw = [logit(models[f], lambda a, b, f=f, ws=ws: vectors[f].embedded(ws[a:b]), len(ws)) for f, ws in zip(batch.column("fold").to_pylist(), words, strict=True)]
-            steps = np.rint(np.clip(raw, -30, 30) * GRID)
-            yield pa.RecordBatch.from_arrays([pa.array([language_group(ws) for ws in words], pa.int32()), batch.column("toxic"), pa.array(steps.astype(np.int64), pa.int32())], names=["group", "toxic", "step"])
+            found = [vectors.read(models[f], t, f) for f, t in zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            steps = np.rint(np.clip([raw for raw, _ in found], -30, 30) * GRID)
+            yield pa.RecordBatch.from_arrays([pa.array([g for _, g in found], pa.int32()), batch.column("toxic"), pa.array(steps.astype(np.int64), pa.int32())], names=["group", "toxic", "step"])
 
     return run
 
 
+def _mean(shared, moved: dict, dense: dict, folds: list[int]) -> Cnn:
+    """The mean of the shards of these folds: their documents' first embeddings, moved as the shards moved their own on average."""
+    import numpy as np
+
+    whole = _whole(shared, folds)
+    seen = np.flatnonzero(whole[1] + whole[2] >= MIN_DOCS)  # as in _train
+    values = sum(moved[f] for f in folds)[seen]
+    values /= (whole[1] + whole[2])[seen, None].astype(np.float32)
+    values += _first(whole)[seen]
+    nothing = np.zeros(0, np.int64)
+    model = _train([], nothing, nothing, (nothing, nothing, nothing, 1, 1))  # of the right shapes
+    model.rows, model.values = whole[0][seen], values
+    if learned := [f for f in folds if f in dense]:
+        _with_dense(model, sum(dense[f] for f in learned) / sum(sum(shared[2][2 * f : 2 * f + 2]) for f in learned))
+    return model
+
+
 def fit_shards(kept: DataFrame, shards: int) -> Cnn:
-    """Train on all rows of ``kept`` (doc_id, text, toxic, fold), in shards, and calibrate."""
+    """Train on all rows of ``kept`` (doc_id, text, toxic, fold), in ``shards`` or a few more, and calibrate."""
     import numpy as np
 
     spark = kept.sparkSession
     names = [f"n{c}" for c in range(2 * FOLDS)]
     counted = kept.mapInArrow(_counted, ", ".join(f"{n} long" for n in ["at", *names])).groupBy("at").agg(*[F.sum(n).alias(n) for n in names])
-    counted = counted.where(sum((F.col(n) for n in names), F.lit(0)) >= MIN_DOCS).toArrow()
-    found = np.stack([counted.column(n).to_numpy() for n in names], axis=1).astype(np.int32)
+    counted = counted.where(sum((F.col(n) for n in names), F.lit(0)) >= MIN_DOCS).toArrow().sort_by("at")
+    found = np.stack([counted.column(n).to_numpy().astype(np.int32) for n in names], axis=1)
     sizes = [0] * (2 * FOLDS)
     for r in kept.groupBy("fold", "toxic").count().collect():
         sizes[2 * r["fold"] + r["toxic"]] = r["count"]
     shared = (counted.column("at").to_numpy(), found, sizes)
+    del counted
     shipped = spark.sparkContext.broadcast(shared)
-    dealt = kept.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), F.col("doc_id").cast("string")), F.lit(shards)).cast("int")).repartition(4 * shards, "shard")
-    moved = dealt.groupBy("shard").applyInArrow(_trained(shipped), "model int, place int, shard int, moved binary")
-    total = moved.groupBy("model", "place").applyInArrow(_summed, "model int, place int, moved binary").toArrow()
-    blocks = {(m, p): np.frombuffer(b, np.float64) for m, p, b in zip(*(total.column(c).to_pylist() for c in ("model", "place", "moved")), strict=True)}
-    models = []
-    for m in range(FOLDS + 1):
-        model = _train([], np.zeros(0, np.int64), np.zeros(0, np.int64), _whole(shared, m))  # where every shard began
-        if (m, -1) in blocks:
-            _with_dense(model, blocks[m, -1][:-1] / blocks[m, -1][-1])
-        for k in range(0, len(model.values), BLOCK_ROWS):
-            if (m, k // BLOCK_ROWS) in blocks:
-                block = blocks[m, k // BLOCK_ROWS].reshape(-1, DIM + 1)
-                model.values[k : k + BLOCK_ROWS] += (block[:, :-1] / np.maximum(block[:, -1:], 1)).astype(np.float32)
-        models.append(model)
+    drawn = F.pmod(F.xxhash64(F.lit("shard"), F.col("doc_id").cast("string")), F.lit(-(-shards // FOLDS)))
+    dealt = kept.withColumn("shard", (F.col("fold") + FOLDS * drawn).cast("int")).repartition(4 * shards, "shard")
+    blocks = dealt.groupBy("shard").applyInArrow(_trained(shipped), "fold int, place int, shard int, moved binary")
+    total = blocks.groupBy("fold", "place").applyInArrow(_summed, "fold int, place int, moved binary").toArrow()
+    moved, dense = {f: np.zeros((len(found), DIM), np.float32) for f in range(FOLDS)}, {}
+    for f, p, block in zip(*(total.column(c) for c in ("fold", "place", "moved")), strict=True):
+        f, k, block = f.as_py(), p.as_py() * BLOCK_ROWS, block.as_buffer()
+        if k < 0:
+            dense[f] = np.frombuffer(block, np.float64)
+        else:
+            moved[f][k : k + BLOCK_ROWS] = np.frombuffer(block, np.float32).reshape(-1, DIM)
+    del total, block
+    models = [_mean(shared, moved, dense, [f for f in range(FOLDS) if f != m]) for m in range(FOLDS + 1)]
     shipped.destroy()
+    del moved, shared, found
+    memory.release()
     judges = spark.sparkContext.broadcast(models[:FOLDS])
     steps = kept.mapInArrow(_judged(judges), "group int, toxic int, step int").groupBy("group", "toxic", "step").count()
     # clean rows first among equal logits: a threshold never parts those
